@@ -104,7 +104,7 @@ def sequence_from_wide(df: DataFrame, out: str = "days") -> DataFrame:
     """Replace the `month_day` columns by one 372-character string; no shuffle."""
     names = {calendar_position(*md): name for name, md in day_columns(df.columns).items()}
     pieces = [
-        F.coalesce(_one_char(F.col(f"`{names[p]}`")), F.lit(v.MISSING)) if p in names else F.lit(v.MISSING)
+        _one_char(F.coalesce(F.col(f"`{names[p]}`"), F.lit(v.MISSING))) if p in names else F.lit(v.MISSING)
         for p in range(calendar.YEAR_POSITIONS)
     ]
     kept = [F.col(f"`{c}`") for c in df.columns if c not in set(names.values())]

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook import vocabulary as v
+from rollbook.functions.ordering import cut_lineage
 from rollbook.functions.text import null_if_nan
 from rollbook.sources import contract as contracts
 
+# Up to this many ids with copies are sent to every executor (some 20 MB).
+BROADCAST_IDS = 500_000
+
 
 def lower_names(df: DataFrame) -> DataFrame:
     """Lower-case all column names; two names that become equal are an error."""
@@ -26,14 +30,35 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def dedup_first(df: DataFrame, id: str, order_key: str) -> DataFrame:
-    """Keep, per id, the row with the smallest `order_key`.
+def first_of_copies(df: DataFrame, id: str, order_key: str) -> DataFrame:
+    """(id, smallest order key) of the ids that occur more than once, written to the checkpoint folder.
+
+    Reads two columns only; copies of an id collapse before the shuffle.
+    """
+    copies = df.groupBy(F.col(id).alias("__id")).agg(
+        F.min(order_key).alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    return cut_lineage(copies.filter(F.col("__n") > 1).drop("__n"))
 
-    An aggregate, not a window: copies of one id collapse before the shuffle, so an id
-    that holds a large share of the rows does not end up in one task.
+
+def drop_copies(df: DataFrame, firsts: DataFrame, id: str, order_key: str) -> DataFrame:
+    """Keep the rows of ids that occur once, and of the others the one in `firsts`.
+
+    With few such ids the rows stay where they are and are only filtered; with many of
+    them an ordinary join takes over.
     """
-    first = df.groupBy(id).agg(F.min_by(F.struct(*df.columns), order_key).alias("__row"))
-    return first.select("__row.*")
+    known = firsts.count()
+    if known == 0:
+        return df
+    side = F.broadcast(firsts) if known <= BROADCAST_IDS else firsts
+    joined = df.join(side, F.col(id).eqNullSafe(F.col("__id")), "left")
+    kept = joined.filter(F.col("__first").isNull() | (F.col(order_key) == F.col("__first")))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def dedup_first(df: DataFrame, id: str, order_key: str) -> DataFrame:
+    """Keep, per id, the row with the smallest `order_key`, which is unique and never null."""
+    return drop_copies(df, first_of_copies(df, id, order_key), id, order_key)
 
 
 def cast_to_contract(df: DataFrame, contract: Mapping[str, list]) -> DataFrame:
@@ -226,11 +251,11 @@ def preprocess(
     scores = groups.get(v.GROUP_SCORES, [])
     days = groups.get(v.GROUP_DAYS, [])
     averaged = [c for c in floats if c not in scores]
+    firsts = first_of_copies(df, index, order_key)
+    df = drop_copies(df, firsts, index, order_key)
     if means is None:
-        # Only the columns that need a mean take part in this pass.
-        slim = dedup_first(df.select(*dict.fromkeys([index, order_key, *averaged])), index, order_key)
-        means = float_means(cast_to_contract(slim, {c: narrowed[c] for c in averaged}), averaged)
-    df = dedup_first(df, index, order_key)
+        # Reads the columns that need a mean and the two that tell copies apart.
+        means = float_means(cast_to_contract(df, {c: narrowed[c] for c in averaged}), averaged)
     if order_key not in contract:
         df = df.drop(order_key)
     df = cast_to_contract(df, narrowed)

@@ -57,8 +57,8 @@ def to_long(df: DataFrame, id: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _one_char(status: Column) -> Column:
-    return F.when(F.length(status) == 1, status).otherwise(
-        F.raise_error(F.concat(F.lit("a status is one character, not: "), status))
+    return F.when((F.length(status) == 1) & (F.ascii(status) < 256), status).otherwise(
+        F.raise_error(F.concat(F.lit("a status is one Latin-1 character, not: "), status))
     )
 
 
@@ -67,36 +67,33 @@ def build_sequence(long: DataFrame, by: str | Sequence[str]) -> DataFrame:
 
     Days without a row, and rows without a status, are missing. Where a day has several
     rows, present wins over absent, absent over any other status and missing comes last.
-    The rows of an id are reduced to its distinct (day, status) pairs before the shuffle,
-    so the group that reaches one task is bounded by the days of a year.
+
+    Two aggregations: the first reduces the rows to one small number per id and day, on
+    the map side first and spread by both, so an id with very many rows is no burden on
+    one task; the second gathers at most 372 of them per id.
     """
     by = [by] if isinstance(by, str) else list(by)
     status = F.coalesce(F.col("status"), F.lit(v.MISSING))
     rank = (
         F.when(status == v.PRESENT, 0).when(status == v.ABSENT, 1).when(status == v.MISSING, 3).otherwise(2)
     )
-    marks = long.groupBy(*by).agg(
-        F.sort_array(
-            F.collect_set(
-                F.struct(
-                    calendar.position(F.col("month"), F.col("day")).cast("int").alias("pos"),
-                    rank.alias("rank"),
-                    _one_char(status).alias("status"),
-                )
-            )
-        ).alias("marks")
-    )
-    firsts = F.filter(
-        "marks", lambda x, i: (i == 0) | (F.get("marks", i - 1)["pos"] != x["pos"])
+    per_day = (
+        long.select(
+            *by,
+            calendar.position(F.col("month"), F.col("day")).cast("int").alias("pos"),
+            (rank * 256 + F.ascii(_one_char(status))).alias("code"),
+        )
+        .groupBy(*by, "pos")
+        .agg(F.min("code").alias("code"))
     )
+    marks = per_day.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("marks"))
     # Every mark brings the missing days between it and the one before.
     gap = lambda x, i: x["pos"] - F.coalesce(F.get("marks", i - 1)["pos"], F.lit(-1)) - 1
     pieces = F.transform(
-        "marks", lambda x, i: F.concat(F.repeat(F.lit(v.MISSING), gap(x, i)), x["status"])
+        "marks", lambda x, i: F.concat(F.repeat(F.lit(v.MISSING), gap(x, i)), F.chr(x["code"] % 256))
     )
-    return (
-        marks.withColumn("marks", firsts)
-        .select(*by, F.rpad(F.array_join(pieces, ""), calendar.YEAR_POSITIONS, v.MISSING).alias("days"))
+    return marks.select(
+        *by, F.rpad(F.array_join(pieces, ""), calendar.YEAR_POSITIONS, v.MISSING).alias("days")
     )
 
 

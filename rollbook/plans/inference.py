@@ -8,6 +8,7 @@ from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning, sequence
 from rollbook.operators.model import EwsModel
 from rollbook.plans.training import DataSettings, Run, score_splits, write_run
+from rollbook.sources.contract import one_year
 
 
 def infer(
@@ -21,7 +22,7 @@ def infer(
     fitted = EwsModel.load(model_path)
     label = data.label if data.label in [c.lower() for c in df.columns] else None
     clean, groups, _ = cleaning.preprocess(
-        df, data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
+        one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
     )
     features, _, _ = sequence.engineer(
         cut_lineage(clean), holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label

@@ -12,6 +12,7 @@ from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning, model, sampling, sequence, thresholds
 from rollbook.sources import frames
+from rollbook.sources.contract import one_year
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def train_and_evaluate(
 ) -> Run:
     """Run everything on a unified table; with a `path`, write model, frames, scores and metrics there."""
     clean, groups, _ = cleaning.preprocess(
-        df, data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
+        one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
     )
     # Read by the class counts, the rank search, the valid days of both splits and the features.
     clean = cut_lineage(clean)

@@ -103,22 +103,26 @@ def status_map(meaning: Mapping[str, Iterable[str]]) -> dict[str, str]:
     return {raw: v.STATUS_NAMES[name] for name, raws in meaning.items() for raw in raws}
 
 
-def read_unified(
-    spark: SparkSession, path: str, contract: Mapping[str, list], fmt: str = "parquet", **options
-) -> DataFrame:
-    """Read the unified table with the contract's types; year and grade come from the path.
+def read_unified(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Read unified tables; year and grade come from the path.
 
     The path of every file must hold `ay<yyyy>_grade<n>`, as the name of the file or of
-    a folder above it.
+    a folder above it. CSV columns are matched by the header and stay text; the
+    contract's types are applied by the cleaning.
     """
-    data = (
-        spark.read.format(fmt).schema(contract_schema(contract)).options(**options).load(path)
-        if fmt != "parquet"
-        else spark.read.options(**options).parquet(path)
-    )
+    if fmt == "csv":
+        options = {"header": True, **options}
+    data = spark.read.format(fmt).options(**options).load(path)
     return with_year_and_grade(data, F.col("_metadata.file_path"))
 
 
+def one_year(df: DataFrame, acad_year: str) -> DataFrame:
+    """The rows of one academic year, without the columns `read_unified` added."""
+    if "acad_year" not in df.columns:
+        return df
+    return df.filter(F.col("acad_year") == acad_year).drop("acad_year", "grade")
+
+
 def with_year_and_grade(df: DataFrame, path: F.Column) -> DataFrame:
     """Add `acad_year` and `grade` found in `path`; a path without them is an error."""
     pattern = r"ay(\d{4})_grade(\d+)"

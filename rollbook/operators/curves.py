@@ -52,9 +52,9 @@ def _ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
     return F.when(bottom > 0, top.cast("double") / bottom.cast("double")).otherwise(fallback)
 
 
-def _recall(cum_pos: Column = F.col("cum_pos")) -> Column:
+def _recall() -> Column:
     # Without positives recall is 1 everywhere on the curve.
-    return _ratio(cum_pos, F.col("total_pos"), 1.0)
+    return _ratio(F.col("cum_pos"), F.col("total_pos"), 1.0)
 
 
 def _precision() -> Column:

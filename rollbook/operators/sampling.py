@@ -38,9 +38,10 @@ def sample_sizes(negatives: int, positives: int, p: float | str) -> dict[int, in
     return {0: math.ceil(positives * (1 - wanted) / wanted), 1: positives}
 
 
-def first_per_class(df: DataFrame, label: str, keys: list[str], sizes: dict[int, int]) -> Column:
-    """Condition that holds for the first `sizes[c]` rows of each class c in order of `keys`."""
-    counts = class_counts(df, label)
+def first_per_class(
+    df: DataFrame, label: str, keys: list[str], counts: dict[int, int], sizes: dict[int, int]
+) -> Column:
+    """Condition that holds for the first `sizes[c]` of the `counts[c]` rows of each class c in order of `keys`."""
     bases = {0: 0, 1: counts[0]}
     cut = [c for c in (0, 1) if 0 < sizes[c] < counts[c]]
     limits = dict(zip(cut, nth_keys(df, [label, *keys], [bases[c] + sizes[c] for c in cut]))) if cut else {}
@@ -76,9 +77,9 @@ def prevalence_sample(
     if all(sizes[c] >= counts[c] for c in (0, 1)):
         return df
     if seed is None:
-        return df.filter(first_per_class(df, label, [order_key], sizes))
+        return df.filter(first_per_class(df, label, [order_key], counts, sizes))
     hashed = _hash_key(df, order_key, seed)
-    return hashed.filter(first_per_class(hashed, label, [_HASH, order_key], sizes)).drop(_HASH)
+    return hashed.filter(first_per_class(hashed, label, [_HASH, order_key], counts, sizes)).drop(_HASH)
 
 
 def split_sizes(counts: dict[int, int], fraction: float) -> dict[int, int]:
@@ -104,6 +105,6 @@ def stratified_split(
     partitioning.
     """
     hashed = _hash_key(df, id, seed)
-    sizes = split_sizes(class_counts(df, label), fraction)
-    in_train = first_per_class(hashed, label, [_HASH, id], sizes)
+    counts = class_counts(df, label)
+    in_train = first_per_class(hashed, label, [_HASH, id], counts, split_sizes(counts, fraction))
     return hashed.filter(in_train).drop(_HASH), hashed.filter(~in_train).drop(_HASH)

@@ -108,6 +108,11 @@ def sequence_from_wide(df: DataFrame, out: str = "days") -> DataFrame:
     return df.select(*kept, F.concat(*pieces).alias(out))
 
 
+def column_positions(df: DataFrame) -> list[int]:
+    """Positions that have a day column."""
+    return sorted(calendar_position(*md) for md in day_columns(df.columns).values())
+
+
 def calendar_position(month: int, day: int) -> int:
     """Position of a date given as numbers."""
     return (month + 6) % 12 * calendar.MONTH_DAYS + day - 1
@@ -246,17 +251,19 @@ def engineer(
     groups: Mapping[str, Sequence[str]] | None = None,
     index: str = v.INDEX,
     label: str | None = v.LABEL,
-    positions: Sequence[int] | None = None,
+    dates: Sequence[int] | None = None,
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """Wide cleaned frame to features; returns it with its categorical and numerical features."""
-    sequences = sequence_from_wide(df)
-    if positions is None:
-        # Only days the frame has a column for can be valid, whatever `max_missing` allows.
-        own = {calendar_position(*md) for md in day_columns(df.columns).values()}
-        found = positions_of(valid_days(sequences, holidays, acad_year, config.max_missing))
-        positions = [p for p in found if p in own]
-    features = cleaning.drop_columns(
-        attendance_features(sequences, positions, config), drop, groups
-    )
+    """Cleaned frame to features; returns it with its categorical and numerical features.
+
+    The frame has day columns, or a `days` string made from them together with `dates`,
+    the positions that had a column. Only those can be valid, whatever `max_missing` allows.
+    """
+    if dates is None:
+        dates = column_positions(df)
+        df = sequence_from_wide(df)
+    found = positions_of(valid_days(df, holidays, acad_year, config.max_missing))
+    own = set(dates)
+    features = attendance_features(df, [p for p in found if p in own], config)
+    features = cleaning.drop_columns(features, drop, groups)
     categorical, numerical = cleaning.split_features(features, index, label)
     return features, categorical, numerical

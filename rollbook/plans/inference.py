@@ -24,8 +24,10 @@ def infer(
     clean, groups, _ = cleaning.preprocess(
         one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
     )
+    dates = sequence.column_positions(clean)
+    clean = cut_lineage(sequence.sequence_from_wide(clean))
     features, _, _ = sequence.engineer(
-        cut_lineage(clean), holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label
+        clean, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label, dates
     )
     missing = sorted(set(fitted.features) - set(features.columns))
     if missing:

@@ -62,14 +62,16 @@ def train_and_evaluate(
     clean, groups, _ = cleaning.preprocess(
         one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
     )
-    # Read by the class counts, the rank search, the valid days of both splits and the features.
-    clean = cut_lineage(clean)
+    # Read by the class counts, the rank search, the valid days of both splits and the
+    # features; written with one string instead of a column per day.
+    dates = sequence.column_positions(clean)
+    clean = cut_lineage(sequence.sequence_from_wide(clean))
     sampled = sampling.prevalence_sample(clean, data.label, fit.prevalence, data.index, fit.sample_seed)
     halves = sampling.stratified_split(sampled, data.label, data.index, fit.train_fraction, fit.split_seed)
     splits, categorical, numerical = {}, None, None
     for name, half in zip(("train", "val"), halves):
         features, cats, nums = sequence.engineer(
-            half, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, data.label
+            half, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, data.label, dates
         )
         if categorical is None:
             categorical, numerical = cats, nums

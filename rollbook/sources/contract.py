@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,7 +123,7 @@ def one_year(df: DataFrame, acad_year: str) -> DataFrame:
     return df.filter(F.col("acad_year") == acad_year).drop("acad_year", "grade")
 
 
-def with_year_and_grade(df: DataFrame, path: F.Column) -> DataFrame:
+def with_year_and_grade(df: DataFrame, path: Column) -> DataFrame:
     """Add `acad_year` and `grade` found in `path`; a path without them is an error."""
     pattern = r"ay(\d{4})_grade(\d+)"
     year = F.regexp_extract(path, pattern, 1)

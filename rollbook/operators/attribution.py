@@ -13,7 +13,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,18 +152,13 @@ def tree_shap(df: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], va
 
 def model_leaves(model: EwsModel, path: str) -> tuple[list[Leaf], float]:
     """Leaf tables of a model saved below `path`, in log-odds (twice Spark's margin)."""
-    tree = model.pipeline.stages[-1]
-    position = len(model.pipeline.stages) - 1
-    folder = f"{path}/pipeline/stages/{position}_{tree.uid}/data"
-    return forest_leaves(
-        forest_rows(SparkSession.active().read.parquet(folder)), [2.0 * w for w in tree.treeWeights]
-    )
+    trees = model.classifier.trees
+    saved = SparkSession.active().read.parquet(f"{path}/stages/stages/1_{trees.uid}/data")
+    return forest_leaves(forest_rows(saved), [2.0 * w for w in trees.treeWeights])
 
 
 def shap_values(model: EwsModel, df: DataFrame, path: str) -> DataFrame:
     """Add `shap` in log-odds to a frame with the model's feature columns."""
     leaves, _ = model_leaves(model, path)
-    encoded = PipelineModel(model.pipeline.stages[:-1]).transform(df)
-    encoded = encoded.withColumn("__inputs", vector_to_array("__features"))
+    encoded = model.classifier.inputs(df).withColumn("__inputs", vector_to_array("__features"))
     return tree_shap(encoded, leaves, model.features, "__inputs").select(*df.columns, "shap")
-

@@ -12,9 +12,9 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +23,39 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import calibration, curves, sampling, thresholds
+from rollbook.operators.encoding import CategoryMeans, fit_category_means
 
 _WEIGHT = "__weight"
 _IS_VALIDATION = "__is_validation"
 _FEATURES = "__features"
-# The category lists become part of the model, so their size is checked before they are gathered.
-MAX_CATEGORIES = 1_000_000
+
+
+@dataclass
+class Classifier:
+    """Category means, assembly and trees."""
+
+    means: CategoryMeans
+    stages: PipelineModel
+
+    @property
+    def trees(self) -> GBTClassificationModel:
+        return self.stages.stages[-1]
+
+    def inputs(self, df: DataFrame) -> DataFrame:
+        """Add the vector the trees read."""
+        return self.stages.stages[0].transform(self.means.transform(df))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add the trees' output columns and the probability of class 1."""
+        scored = self.trees.transform(self.inputs(df))
+        return scored.withColumn(v.PROBA_1, vector_to_array("__probability")[1])
 
 
 @dataclass
 class EwsModel:
     """A fitted classifier with its calibrator, threshold and feature lists."""
 
-    pipeline: PipelineModel
+    classifier: Classifier
     calibrator: IsotonicRegressionModel
     threshold: float
     categorical: list[str]
@@ -49,7 +69,7 @@ class EwsModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add preds_proba_0, preds_proba_1 and preds to the rows themselves."""
-        scored = calibration.calibrate(self.calibrator, raw_scores(self.pipeline, df), v.PROBA_1, v.PROBA_1)
+        scored = calibration.calibrate(self.calibrator, self.classifier.transform(df), v.PROBA_1, v.PROBA_1)
         return scored.withColumns(
             {
                 v.PROBA_0: F.lit(1.0) - F.col(v.PROBA_1),
@@ -58,8 +78,9 @@ class EwsModel:
         ).select(*df.columns, v.PROBA_0, v.PROBA_1, v.PREDICTION)
 
     def save(self, path: str) -> None:
-        """Write pipeline, calibrator and settings below `path`."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """Write category means, trees, calibrator and settings below `path`."""
+        self.classifier.means.save(f"{path}/means")
+        self.classifier.stages.write().overwrite().save(f"{path}/stages")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
         settings = json.dumps(
             {
@@ -68,6 +89,8 @@ class EwsModel:
                 "categorical": self.categorical,
                 "numerical": self.numerical,
                 "params": self.params,
+                "overall": self.classifier.means.overall,
+                "sizes": self.classifier.means.sizes,
             }
         )
         spark = SparkSession.active()
@@ -79,16 +102,9 @@ class EwsModel:
     def load(cls, path: str) -> EwsModel:
         """Read what `save` wrote."""
         settings = json.loads(SparkSession.active().read.text(f"{path}/settings").first().value)
-        return cls(
-            PipelineModel.load(f"{path}/pipeline"),
-            IsotonicRegressionModel.load(f"{path}/calibrator"),
-            **settings,
-        )
-
-
-def raw_scores(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add the uncalibrated probability of class 1."""
-    return pipeline.transform(df).withColumn(v.PROBA_1, vector_to_array("__probability")[1])
+        means = CategoryMeans.load(f"{path}/means", settings.pop("overall"), settings.pop("sizes"))
+        classifier = Classifier(means, PipelineModel.load(f"{path}/stages"))
+        return cls(classifier, IsotonicRegressionModel.load(f"{path}/calibrator"), **settings)
 
 
 def class_weights(df: DataFrame, label: str) -> dict[int, float]:
@@ -103,67 +119,40 @@ def with_weights(df: DataFrame, label: str, weights: Mapping[int, float]) -> Dat
     return df.withColumn(_WEIGHT, weight.cast("double"))
 
 
-def stages(categorical: Sequence[str], numerical: Sequence[str], label: str, params: Mapping) -> list:
-    """Indexing and target encoding of categories, assembly and the classifier."""
+def fit_classifier(
+    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping
+) -> Classifier:
+    """Category means from the training rows only, then boosting with `val` as validation set.
+
+    `params` are those of `GBTClassifier`, and `smoothing` (rows) of the means and
+    `balanced` (class weights).
+    """
     params = dict(params)
-    smoothing = params.pop("smoothing", 0.0)
-    balanced = params.pop("balanced", False)
-    codes, means = [f"__code_{c}" for c in categorical], [f"__mean_{c}" for c in categorical]
-    made = []
-    if categorical:
-        made.append(StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep"))
-        made.append(
-            TargetEncoder(
-                inputCols=codes, outputCols=means, labelCol=label, targetType="binary",
-                smoothing=float(smoothing), handleInvalid="keep",
-            )
-        )
-    made.append(VectorAssembler(inputCols=[*means, *numerical], outputCol=_FEATURES))
+    smoothing, balanced = params.pop("smoothing", 0.0), params.pop("balanced", False)
+    means = fit_category_means(train, categorical, label, smoothing)
+    assembler = VectorAssembler(inputCols=[*[f"__mean_{c}" for c in categorical], *numerical], outputCol=_FEATURES)
+    both = train.withColumn(_IS_VALIDATION, F.lit(False)).unionByName(
+        val.withColumn(_IS_VALIDATION, F.lit(True))
+    )
+    encoded = assembler.transform(means.transform(both))
     tree = GBTClassifier(
         featuresCol=_FEATURES, labelCol=label, predictionCol="__prediction",
         validationIndicatorCol=_IS_VALIDATION, **params,
     )
     tree.setProbabilityCol("__probability").setRawPredictionCol("__margin")
-    if balanced:
-        tree.setWeightCol(_WEIGHT)
-    return [*made, tree]
-
-
-def check_category_sizes(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """Fail before fitting if a column has too many categories to be part of a model."""
-    if not categorical:
-        return
-    row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in categorical]).first()
-    large = {c: row[c] for c in categorical if row[c] > limit}
-    if large:
-        raise ValueError(f"too many categories for a categorical feature, drop or group them: {large}")
-
-
-def fit_pipeline(
-    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping
-) -> PipelineModel:
-    """Fit the encoders on the training rows only, then boost with `val` as validation set."""
-    *encoders, tree = stages(categorical, numerical, label, params)
-    encoding = Pipeline(stages=encoders).fit(train)
-    both = train.withColumn(_IS_VALIDATION, F.lit(False)).unionByName(
-        val.withColumn(_IS_VALIDATION, F.lit(True))
-    )
-    encoded = encoding.transform(both)
     kept = [label, _FEATURES, _IS_VALIDATION]
-    if params.get("balanced"):
+    if balanced:
         encoded = with_weights(encoded, label, class_weights(train, label))
+        tree.setWeightCol(_WEIGHT)
         kept.append(_WEIGHT)
-    return PipelineModel([*encoding.stages, tree.fit(encoded.select(*kept))])
+    return Classifier(means, PipelineModel([assembler, tree.fit(encoded.select(*kept))]))
 
 
-def loss_table(model: PipelineModel, train: DataFrame, val: DataFrame, label: str) -> DataFrame:
+def loss_table(model: Classifier, train: DataFrame, val: DataFrame, label: str) -> DataFrame:
     """(iteration, trn, val): Spark's log loss 2*log(1+exp(-2yF)) after each tree, weighted as the fit was."""
-    *encoders, tree = model.stages
-    encoding = PipelineModel(encoders)
+    tree = model.trees
     weights = class_weights(train, label) if tree.isDefined(tree.weightCol) else {}
-    losses = [
-        tree.evaluateEachIteration(with_weights(encoding.transform(d), label, weights)) for d in (train, val)
-    ]
+    losses = [tree.evaluateEachIteration(with_weights(model.inputs(d), label, weights)) for d in (train, val)]
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses))]
     return train.sparkSession.createDataFrame(rows, "iteration int, trn double, val double")
 
@@ -217,8 +206,7 @@ def random_search(
     trials = []
     for trial in range(n_trials):
         params = draw_params(rng, fixed, tune)
-        model = fit_pipeline(train, val, label, categorical, numerical, params)
-        scored = raw_scores(model, val)
+        scored = fit_classifier(train, val, label, categorical, numerical, params).transform(val)
         area = curves.auc_pr(curves.score_table(scored, v.PROBA_1, label)).first()[0]
         trials.append((trial, params, area))
     best = max(trials, key=lambda t: t[2])[1]
@@ -254,14 +242,13 @@ def train(
     seed: int = 0,
 ) -> TrainingResult:
     """Tune (optional), fit, score the validation rows, calibrate and choose thresholds."""
-    check_category_sizes(df_train, categorical)
     params, trials = {"seed": seed, **params}, None
     if tune:
         params, trials = random_search(
             df_train, df_val, label, categorical, numerical, params, tune, n_trials, seed
         )
-    pipeline = fit_pipeline(df_train, df_val, label, categorical, numerical, params)
-    slim = raw_scores(pipeline, df_val).select(
+    classifier = fit_classifier(df_train, df_val, label, categorical, numerical, params)
+    slim = classifier.transform(df_val).select(
         id, (F.lit(1.0) - F.col(v.PROBA_1)).alias(v.PROBA_0), v.PROBA_1, label
     )
     before = cut_lineage(slim)
@@ -271,6 +258,6 @@ def train(
     )
     best = thresholds.best_thresholds(after, v.PROBA_1, label, id).first()
     model = EwsModel(
-        pipeline, calibrator, best.max_f1, list(categorical), list(numerical), dict(params), best.max_lift
+        classifier, calibrator, best.max_f1, list(categorical), list(numerical), dict(params), best.max_lift
     )
-    return TrainingResult(model, trials, loss_table(pipeline, df_train, df_val, label), before, after)
+    return TrainingResult(model, trials, loss_table(classifier, df_train, df_val, label), before, after)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook import vocabulary as v
-from rollbook.functions.ordering import use_checkpoint_dir
+from rollbook.functions.ordering import cut_lineage, use_checkpoint_dir
 from rollbook.operators import (
     attribution, calibration, cleaning, curves, enrolment, explanation, model, sampling, sequence, thresholds,
 )
@@ -553,7 +553,7 @@ def _customer_features(spark, folder):
     features = sequence.attendance_features(rows, positions).withColumnRenamed("o_custkey", "studentid")
     scores = ["urgent_score", "low_score"]
     clean = cleaning.fill_exam_scores(cleaning.fill_strings(features, ["nation", "segment"]), scores)
-    return cleaning.fill_float_means(clean, ["balance"])
+    return cut_lineage(cleaning.fill_float_means(clean, ["balance"]))
 
 
 def _fit(spark, folder):

@@ -29,5 +29,5 @@ def test_unify_keeps_every_enrolled_id(spark):
 def test_label_needs_one_shuffle(spark):
     from conftest import plan_of
 
-    df = spark.range(100).select(F.col("id"), F.lit(2020).alias("year"))
+    df = spark.range(100).select(F.col("id") % 7, F.lit(2020).alias("year")).toDF("id", "year")
     assert plan_of(enrolment.dropout_label(df, "id", "year", 2022)).count("Exchange hashpartitioning") == 1

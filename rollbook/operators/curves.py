@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook import vocabulary as v
+from rollbook.functions.bins import edge_at, edges_passed, even_edges
 from rollbook.functions.ordering import running_totals
 
 
@@ -300,11 +300,11 @@ def summary_at(table: DataFrame, threshold: float) -> DataFrame:
 
 def calibration_bins(table: DataFrame, bins: int = v.CALIBRATION_BINS) -> DataFrame:
     """(bin, n, mean_score, positive_rate) of the non-empty uniform bins; edges belong to the lower bin."""
-    edges = F.array(*[F.lit(float(e)) for e in np.linspace(0.0, 1.0, bins + 1)[1:-1]])
+    inner = even_edges(0.0, 1.0, bins + 1)[1:-1]
     score = F.when(F.col("score").between(0.0, 1.0), F.col("score")).otherwise(
         F.raise_error(F.lit("scores must lie between 0 and 1"))
     )
-    bin_of = F.size(F.filter(edges, lambda e: e < score)) if bins > 1 else F.lit(0)
+    bin_of = edges_passed(score, inner, inclusive=False) if inner else F.lit(0)
     return (
         table.select(bin_of.alias("bin"), "score", "n", "pos")
         .groupBy("bin")
@@ -322,9 +322,8 @@ def sweep(table: DataFrame, points: int = v.SWEEP_POINTS) -> DataFrame:
     Every score is put between two thresholds first, so the table is reduced to at most
     `points` + 1 rows before the running sums.
     """
-    edges = [float(t) for t in np.linspace(0.0, 1.0, points)]
-    literal = F.array(*[F.lit(t) for t in edges])
-    passed = F.size(F.filter(literal, lambda t: t <= F.col("score")))
+    edges = even_edges(0.0, 1.0, points)
+    passed = edges_passed(F.col("score"), edges)
     spark = table.sparkSession
     steps = table.groupBy(passed.alias("passed")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     grid = spark.range(points + 1).select(F.col("id").cast("int").alias("passed"))
@@ -333,7 +332,7 @@ def sweep(table: DataFrame, points: int = v.SWEEP_POINTS) -> DataFrame:
     above = Window.orderBy(F.col("passed").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.orderBy("passed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = full.select(
-        F.get(literal, F.col("passed") - 1).alias("threshold"),
+        edge_at(edges, F.col("passed") - 1).alias("threshold"),
         "passed",
         F.sum("pos").over(above).alias("tp"),
         (F.sum("n").over(above) - F.sum("pos").over(above)).alias("fp"),
@@ -381,21 +380,17 @@ def histogram(
         low, high = 0.0, 1.0
     if low == high:
         low, high = low - 0.5, high + 0.5
-    edges = [float(e) for e in np.linspace(low, high, bins + 1)]
-    edge = lambda i: F.get(F.array(*[F.lit(e) for e in edges]), i)
-    # A guess by division, corrected against the edges themselves.
-    guess = F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit((high - low) / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    edges = even_edges(low, high, bins + 1)
+    keys = [by] if by else []
     placed = df.filter(x.isNotNull()).select(
-        *([by] if by else []),
-        x.alias("__x"),
+        *keys,
+        # The largest value belongs to the last bin.
+        F.least(edges_passed(x, edges) - 1, F.lit(bins - 1)).alias("bin"),
         (F.col(weight) if weight else F.lit(1)).alias("__w"),
-        guess.alias("__g"),
     )
-    up = (F.col("__x") >= edge(F.col("__g") + 1)) & (F.col("__g") < bins - 1)
-    bin_of = F.when(F.col("__x") < edge(F.col("__g")), F.col("__g") - 1).when(up, F.col("__g") + 1).otherwise(F.col("__g"))
-    counts = placed.groupBy(*([by] if by else []), bin_of.alias("bin")).agg(F.sum("__w").cast("bigint").alias("n"))
+    counts = placed.groupBy(*keys, "bin").agg(F.sum("__w").cast("bigint").alias("n"))
     return counts.select(
-        *([by] if by else []), "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "n"
+        *keys, "bin", edge_at(edges, F.col("bin")).alias("low"), edge_at(edges, F.col("bin") + 1).alias("high"), "n"
     )
 
 

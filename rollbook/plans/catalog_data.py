@@ -50,7 +50,7 @@ def order_sequences(spark: SparkSession, folder: str, start: int = 1997) -> Data
     date = F.col("o_orderdate")
     marks = (
         table(spark, folder, "orders")
-        .filter((date >= F.lit(f"{start}-06-01").cast("timestamp_ntz")) & (date < F.lit(f"{start + 1}-06-01").cast("timestamp_ntz")))
+        .filter(calendar.within_years(date, start, start))
         .select(
             "o_custkey",
             F.month(date).alias("month"),
@@ -73,11 +73,11 @@ def scored_orders(spark: SparkSession, folder: str, digits: int | None = None) -
 
 def enrolments(spark: SparkSession, folder: str) -> DataFrame:
     """(o_custkey, year): the academic years 1995 to 2000 in which a customer ordered."""
-    year = calendar.year_start(F.col("o_orderdate"))
+    date = F.col("o_orderdate")
     return (
         table(spark, folder, "orders")
-        .select("o_custkey", year.alias("year"))
-        .filter(F.col("year").between(1995, 2000))
+        .filter(calendar.within_years(date, 1995, 2000))
+        .select("o_custkey", calendar.year_start(date).alias("year"))
     )
 
 
@@ -123,10 +123,9 @@ def customer_contract() -> dict[str, list]:
 def unified_customers(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
     """One row per customer who ordered in the year, with label, static columns, scores and `days`."""
     labels = dropouts(spark, folder).filter(F.col("year") == start)
-    date = calendar.year_start(F.col("o_orderdate"))
     exams = enrolment.exams_wide(
         table(spark, folder, "orders")
-        .filter(date == start)
+        .filter(calendar.within_years(F.col("o_orderdate"), start, start))
         .withColumn(
             "subject",
             F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "5-LOW", "low"),

@@ -7,15 +7,15 @@ the rows stay where they are and are processed a batch at a time with NumPy.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.operators.model import EwsModel
 
@@ -120,34 +120,34 @@ def forest_leaves(forest: DataFrame, weights: Sequence[float]) -> tuple[list[Lea
     return leaves, base
 
 
-def tree_shap(df: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], values: str) -> DataFrame:
+def tree_shap(df: DataFrame, leaves: Sequence[Leaf], inputs: Mapping[str, Column]) -> DataFrame:
     """Add `shap`, a struct with one number per feature.
 
-    `values` is an array column with the model's inputs in the order of `features`. No
-    shuffle: only that array crosses to Python, and the row it belongs to waits in the JVM.
+    `inputs` gives the model's input of every feature, in the model's order. No shuffle:
+    only those columns cross to Python, as Arrow batches, and the row they belong to waits
+    in the JVM.
     """
     # Plain tuples, so that the task needs nothing but NumPy and pandas.
     plain = [(leaf.features, leaf.low, leaf.high, leaf.lookup) for leaf in leaves]
     shared = df.sparkSession.sparkContext.broadcast(plain)
-    width = len(features)
+    names = list(inputs)
+    kind = T.StructType([T.StructField(name, T.DoubleType()) for name in names])
 
-    @F.pandas_udf("array<double>")
-    def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def contributions(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.vstack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
-            out = np.zeros(x.shape)
+            columns = [c.to_numpy(dtype=float) for c in batch]
+            rows = len(columns[0])
+            out = [np.zeros(rows) for _ in names]
             for tested, lows, highs, lookup in shared.value:
-                code = np.zeros(len(x), dtype=np.int64)
+                code = np.zeros(rows, dtype=np.int64)
                 for bit, (f, low, high) in enumerate(zip(tested, lows, highs)):
-                    code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << bit
+                    code |= ((columns[f] > low) & (columns[f] <= high)).astype(np.int64) << bit
                 for k, f in enumerate(tested):
-                    out[:, f] += lookup[k][code]
-            yield pd.Series(list(out))
+                    out[f] += lookup[k][code]
+            yield pd.DataFrame(dict(zip(names, out)), columns=names)
 
-    with_array = df.withColumn("__shap", contributions(F.col(values)))
-    return with_array.withColumn(
-        "shap", F.struct(*[F.get("__shap", F.lit(i)).alias(f) for i, f in enumerate(features)])
-    ).drop("__shap")
+    return df.withColumn("shap", contributions(*[c.cast("double") for c in inputs.values()]))
 
 
 def model_leaves(model: EwsModel, path: str) -> tuple[list[Leaf], float]:
@@ -160,5 +160,9 @@ def model_leaves(model: EwsModel, path: str) -> tuple[list[Leaf], float]:
 def shap_values(model: EwsModel, df: DataFrame, path: str) -> DataFrame:
     """Add `shap` in log-odds to a frame with the model's feature columns."""
     leaves, _ = model_leaves(model, path)
-    encoded = model.classifier.inputs(df).withColumn("__inputs", vector_to_array("__features"))
-    return tree_shap(encoded, leaves, model.features, "__inputs").select(*df.columns, "shap")
+    encoded = model.classifier.means.transform(df)
+    inputs = {
+        **{c: F.col(f"`__mean_{c}`") for c in model.categorical},
+        **{c: F.col(f"`{c}`") for c in model.numerical},
+    }
+    return tree_shap(encoded, leaves, inputs).select(*[F.col(f"`{c}`") for c in df.columns], "shap")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rollbook import vocabulary as v
 from rollbook.functions import text
+from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning
 from rollbook.sources import calendar
 
@@ -242,6 +243,23 @@ def attendance_features(
     return with_seqs.select(*kept, *[column.alias(name) for name, column in made.items()])
 
 
+def features_from_long(
+    long: DataFrame,
+    by: str | Sequence[str],
+    holidays: DataFrame | None = None,
+    acad_year: str | None = None,
+    config: SequenceConfig = SequenceConfig(),
+) -> DataFrame:
+    """Rows (id.., month, day, status) to one row of features per id.
+
+    The sequences are written to the checkpoint folder: the valid days and the features
+    both read them, and the long rows are read once.
+    """
+    sequences = cut_lineage(build_sequence(long, by))
+    valid = valid_days(sequences, holidays, acad_year, config.max_missing)
+    return attendance_features(sequences, positions_of(valid), config)
+
+
 def engineer(
     df: DataFrame,
     holidays: DataFrame | None,

@@ -278,34 +278,29 @@ def valid_days(spark, folder):
     )
 
 
-def _valid_events(spark, folder):
-    sequences = data.event_sequences(spark, folder)
-    valid = sequence.valid_days(sequences, data.sundays(spark, folder), "2324")
-    return sequences, sequence.positions_of(valid)
-
-
 @query
 def attendance_features(spark, folder):
     """The flagship: events to day statuses to all default sequence features."""
-    sequences, positions = _valid_events(spark, folder)
-    return sequence.attendance_features(sequences, positions)
+    return sequence.features_from_long(
+        data.event_marks(spark, folder), "user_id", data.sundays(spark, folder), "2324"
+    )
 
 
 @query
 def seq_pattern_overlap(spark, folder):
-    sequences, positions = _valid_events(spark, folder)
     config = sequence.SequenceConfig(
         month_groups={"jan": [1]}, char_combinations=[(3, ["a", "p"]), (2, ["m", "p"])], partitions=[1, 2],
         binary_months=[],
     )
-    return sequence.attendance_features(sequences, positions, config)
+    return sequence.features_from_long(
+        data.event_marks(spark, folder), "user_id", data.sundays(spark, folder), "2324", config
+    )
 
 
 def _order_groups(spark, folder, **settings):
-    sequences = data.order_sequences(spark, folder)
-    positions = sequence.positions_of(sequence.valid_days(sequences))
-    config = sequence.SequenceConfig(**settings)
-    return sequence.attendance_features(sequences, positions, config)
+    return sequence.features_from_long(
+        data.order_marks(spark, folder), "o_custkey", config=sequence.SequenceConfig(**settings)
+    )
 
 
 @query
@@ -533,9 +528,10 @@ def tree_shap_fixed(spark, folder):
     for nodes, weight in zip(FIXED_TREES, (1.0, 0.5)):
         leaves += attribution.leaves_of(nodes, weight)[0]
     rows = data.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.array("l_quantity", "l_discount").alias("inputs")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"
     )
-    explained = attribution.tree_shap(rows, leaves, ["quantity", "discount"], "inputs")
+    inputs = {"quantity": F.col("l_quantity"), "discount": F.col("l_discount")}
+    explained = attribution.tree_shap(rows, leaves, inputs)
     return explained.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.round("shap.quantity", 9).alias("quantity"), F.round("shap.discount", 9).alias("discount"),
@@ -548,7 +544,7 @@ _PARAMS = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "balanced": True}
 
 
 def _customer_features(spark, folder):
-    rows = data.unified_customers(spark, folder)
+    rows = cut_lineage(data.unified_customers(spark, folder))
     positions = sequence.positions_of(sequence.valid_days(rows))
     features = sequence.attendance_features(rows, positions).withColumnRenamed("o_custkey", "studentid")
     scores = ["urgent_score", "low_score"]

@@ -45,10 +45,10 @@ def sundays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_sequences(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
+def order_marks(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
     """Order days per customer in the academic year that begins in `start`; failed orders count as absent."""
     date = F.col("o_orderdate")
-    marks = (
+    return (
         table(spark, folder, "orders")
         .filter(calendar.within_years(date, start, start))
         .select(
@@ -58,7 +58,10 @@ def order_sequences(spark: SparkSession, folder: str, start: int = 1997) -> Data
             F.when(F.col("o_orderstatus") == "F", "a").otherwise("p").alias("status"),
         )
     )
-    return sequence.build_sequence(marks, "o_custkey")
+
+
+def order_sequences(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
+    return sequence.build_sequence(order_marks(spark, folder, start), "o_custkey")
 
 
 def scored_orders(spark: SparkSession, folder: str, digits: int | None = None) -> DataFrame:

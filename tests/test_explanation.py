@@ -119,7 +119,8 @@ def test_tree_attribution_equals_brute_force(spark):
     points = [[rng.random() for _ in range(m)] for _ in range(30)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "i int, inputs array<double>").repartition(3)
     names = [f"f{j}" for j in range(m)]
-    for row in attribution.tree_shap(df, leaves, names, "inputs").collect():
+    inputs = {n: F.col("inputs")[j] for j, n in enumerate(names)}
+    for row in attribution.tree_shap(df, leaves, inputs).collect():
         x = points[row.i]
         expected = np.sum([w * np.array(shapley(t, x, m)) for t, w in zip(trees, weights)], axis=0)
         assert np.allclose([row.shap[n] for n in names], expected, atol=1e-12)

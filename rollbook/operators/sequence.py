@@ -199,9 +199,13 @@ def last_occurrence(seq: Column, prefix: str) -> dict[str, Column]:
 
 
 def binary_absence(seq: Column, thresholds: Sequence[int]) -> dict[str, Column]:
-    """1.0 where the last t days hold no present day, else 0.0; a shorter history counts whole."""
+    """1.0 where the last t days hold no present day, else 0.0.
+
+    A shorter history counts whole, and so does every history for t = 0.
+    """
+    last = lambda t: F.right(seq, F.lit(t)) if t else seq
     return {
-        f"binary_absence_{t}": F.when(F.instr(F.right(seq, F.lit(t)), v.PRESENT) > 0, 0.0).otherwise(1.0)
+        f"binary_absence_{t}": F.when(F.instr(last(t), v.PRESENT) > 0, 0.0).otherwise(1.0)
         for t in thresholds
     }
 

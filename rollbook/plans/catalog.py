@@ -102,8 +102,8 @@ def recode(spark, folder):
 
 @query
 def lower_names(spark, folder):
-    named = data.table(spark, folder, "nation").toDF("N_NationKey", "N_NAME", "n_RegionKey")
-    return cleaning.lower_names(named)
+    events = data.table(spark, folder, "events")
+    return cleaning.lower_names(events.toDF(*[c.upper() for c in events.columns]))
 
 
 @query

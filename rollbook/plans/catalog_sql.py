@@ -288,7 +288,7 @@ FROM scored""",
     "recode": """
 SELECT event_type, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'p' WHEN event_type = 'error' THEN 'a' ELSE event_type END AS status,
        count(*) AS n FROM events GROUP BY ALL""",
-    "lower_names": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "lower_names": "SELECT * FROM events",
     "dedup_first": "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
     "cast_to_contract": """
 SELECT c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment, c_acctbal::DOUBLE AS c_acctbal, c_custkey::BIGINT AS c_custkey FROM customer""",

@@ -233,12 +233,13 @@ def preprocess(
     index: str = v.INDEX,
     label: str | None = v.LABEL,
     means: Mapping[str, float | None] | None = None,
+    keep_order: str | None = None,
 ) -> tuple[DataFrame, dict[str, list[str]], dict[str, float | None]]:
     """Clean the unified table; returns it with its column groups and the means it used.
 
-    `order_key` says which of several rows of an id comes first; it is dropped unless
-    the contract lists it. The means are those of this table (before the filters) unless
-    `means` brings others.
+    `order_key` (unique, never null) says which rows come first; it is dropped unless the
+    contract lists it, and `keep_order` names a column to keep its values in. The means
+    are those of this table (before the filters) unless `means` brings others.
     """
     problems = contracts.check_contract(contract, label or v.LABEL)
     if problems:
@@ -256,6 +257,8 @@ def preprocess(
     if means is None:
         # Reads the columns that need a mean and the two that tell copies apart.
         means = float_means(cast_to_contract(df, {c: narrowed[c] for c in averaged}), averaged)
+    if keep_order is not None:
+        df = df.withColumn(keep_order, F.col(order_key))
     if order_key not in contract:
         df = df.drop(order_key)
     df = cast_to_contract(df, narrowed)

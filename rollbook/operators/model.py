@@ -62,6 +62,7 @@ class EwsModel:
     numerical: list[str]
     params: dict = field(default_factory=dict)
     threshold_max_lift: float | None = None
+    valid_days: list[int] | None = None
 
     @property
     def features(self) -> list[str]:
@@ -89,6 +90,7 @@ class EwsModel:
                 "categorical": self.categorical,
                 "numerical": self.numerical,
                 "params": self.params,
+                "valid_days": self.valid_days,
                 "overall": self.classifier.means.overall,
                 "sizes": self.classifier.means.sizes,
             }

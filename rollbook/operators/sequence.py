@@ -264,6 +264,17 @@ def features_from_long(
     return attendance_features(sequences, positions_of(valid), config)
 
 
+def valid_positions(
+    df: DataFrame, holidays: DataFrame | None, acad_year: str, max_missing: float, dates: Sequence[int]
+) -> list[int]:
+    """Valid days of a frame with a `days` string, among the `dates` it has columns for.
+
+    Other days are all missing, which only matters if `max_missing` exceeds 1.
+    """
+    own = set(dates)
+    return [p for p in positions_of(valid_days(df, holidays, acad_year, max_missing)) if p in own]
+
+
 def engineer(
     df: DataFrame,
     holidays: DataFrame | None,
@@ -274,18 +285,19 @@ def engineer(
     index: str = v.INDEX,
     label: str | None = v.LABEL,
     dates: Sequence[int] | None = None,
+    positions: Sequence[int] | None = None,
 ) -> tuple[DataFrame, list[str], list[str]]:
     """Cleaned frame to features; returns it with its categorical and numerical features.
 
     The frame has day columns, or a `days` string made from them together with `dates`,
-    the positions that had a column. Only those can be valid, whatever `max_missing` allows.
+    the positions that had a column. The valid days are its own unless `positions` brings
+    those of another frame.
     """
     if dates is None:
         dates = column_positions(df)
         df = sequence_from_wide(df)
-    found = positions_of(valid_days(df, holidays, acad_year, config.max_missing))
-    own = set(dates)
-    features = attendance_features(df, [p for p in found if p in own], config)
-    features = cleaning.drop_columns(features, drop, groups)
+    if positions is None:
+        positions = valid_positions(df, holidays, acad_year, config.max_missing, dates)
+    features = cleaning.drop_columns(attendance_features(df, positions, config), drop, groups)
     categorical, numerical = cleaning.split_features(features, index, label)
     return features, categorical, numerical

@@ -23,12 +23,14 @@ def explain(
     validation: DataFrame | None = None,
     label: str = v.LABEL,
     wide: bool = False,
+    path: str | None = None,
 ) -> DataFrame:
     """Add attributions, ranked groups with their top drivers, and the label text.
 
     Without a `threshold` it is taken from the scored `validation` frame: the one nearest
     to `target_recall` or, without that, the best F1. `wide` gives one `shap[<feature>]`
-    column per feature instead of the struct.
+    column per feature instead of the struct. With a `path` the result is written there
+    and read back.
     """
     fitted = EwsModel.load(model_path)
     usable = check_groups(groups, fitted.features)
@@ -44,4 +46,9 @@ def explain(
         }
     )
     explained = explain_groups(shap_values(fitted, cast, model_path), usable, threshold)
-    return shap_columns(explained, fitted.features) if wide else explained
+    if wide:
+        explained = shap_columns(explained, fitted.features)
+    if path is None:
+        return explained
+    explained.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

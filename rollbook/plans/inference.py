@@ -16,8 +16,8 @@ def infer(
 ) -> Run:
     """Clean the whole table as one split, score it and, if it has the label, evaluate it.
 
-    Float means and valid days are those of this table. With a `path` the results are
-    written there.
+    Float means and valid days are those of this table, unless the settings share the
+    training split's valid days. With a `path` the results are written there.
     """
     fitted = EwsModel.load(model_path)
     label = data.label if data.label in [c.lower() for c in df.columns] else None
@@ -27,7 +27,8 @@ def infer(
     dates = sequence.column_positions(clean)
     clean = cut_lineage(sequence.sequence_from_wide(clean))
     features, _, _ = sequence.engineer(
-        clean, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label, dates
+        clean, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label, dates,
+        fitted.valid_days if data.share_valid_days else None,
     )
     missing = sorted(set(fitted.features) - set(features.columns))
     if missing:

@@ -15,9 +15,16 @@ from rollbook.sources import frames
 from rollbook.sources.contract import one_year
 
 
+_ORDER = "__order"
+
+
 @dataclass(frozen=True)
 class DataSettings:
-    """How a unified table becomes features."""
+    """How a unified table becomes features.
+
+    `share_valid_days` uses the training split's valid days everywhere, so all splits
+    have sequences of the same length; otherwise each table has its own.
+    """
 
     contract: Mapping[str, list]
     statuses: Mapping[str, str]
@@ -28,6 +35,7 @@ class DataSettings:
     filters: Mapping | None = None
     sequences: sequence.SequenceConfig = sequence.SequenceConfig()
     drop: Sequence[str] = ()
+    share_valid_days: bool = False
 
 
 @dataclass(frozen=True)
@@ -60,18 +68,21 @@ def train_and_evaluate(
 ) -> Run:
     """Run everything on a unified table; with a `path`, write model, frames, scores and metrics there."""
     clean, groups, _ = cleaning.preprocess(
-        one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label
+        one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label,
+        keep_order=_ORDER,
     )
     # Read by the class counts, the rank search, the valid days of both splits and the
     # features; written with one string instead of a column per day.
     dates = sequence.column_positions(clean)
     clean = cut_lineage(sequence.sequence_from_wide(clean))
-    sampled = sampling.prevalence_sample(clean, data.label, fit.prevalence, data.index, fit.sample_seed)
+    sampled = sampling.prevalence_sample(clean, data.label, fit.prevalence, _ORDER, fit.sample_seed).drop(_ORDER)
     halves = sampling.stratified_split(sampled, data.label, data.index, fit.train_fraction, fit.split_seed)
-    splits, categorical, numerical = {}, None, None
+    splits, categorical, numerical, shared = {}, None, None, None
+    if data.share_valid_days:
+        shared = sequence.valid_positions(halves[0], holidays, data.acad_year, data.sequences.max_missing, dates)
     for name, half in zip(("train", "val"), halves):
         features, cats, nums = sequence.engineer(
-            half, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, data.label, dates
+            half, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, data.label, dates, shared
         )
         if categorical is None:
             categorical, numerical = cats, nums
@@ -80,6 +91,7 @@ def train_and_evaluate(
         splits["train"], splits["val"], data.label, data.index, categorical, numerical,
         fit.params, fit.tune, fit.n_trials, fit.bins,
     )
+    fitted.model.valid_days = shared
     scored = {name: cut_lineage(fitted.model.transform(part)) for name, part in splits.items()}
     run = score_splits(fitted.model, scored, data.label, data.index)
     run.fit = fitted

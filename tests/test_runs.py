@@ -1,11 +1,13 @@
+import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rollbook.operators import attribution, calibration, encoding, model
-from rollbook.operators.sequence import SequenceConfig
+from rollbook.operators import sequence as S
 from rollbook.plans.explaining import explain
 from rollbook.plans.inference import infer
 from rollbook.plans.training import DataSettings, FitSettings, train_and_evaluate
@@ -119,13 +121,32 @@ def test_explanation(run):
     result, path, _ = run
     groups = {"geo": ["districtid"], "attendance": [f for f in result.model.features if "full_" in f], "exam": ["maths_score", "maths_attnd"]}
     val = result.frames["val"]
-    got = explain(val, f"{path}/model", groups, target_recall=0.8, validation=val, wide=True)
+    got = explain(val, f"{path}/model", groups, target_recall=0.8, validation=val, wide=True, path=f"{path}/explained")
     assert {"shap[districtid]", "predictor_group_3_top_driver", "preds"} <= set(got.columns)
     assert {r.preds for r in got.select("preds").distinct().collect()} <= {"dropout", "notdropout"}
     with pytest.raises(ValueError, match="threshold"):
         explain(val, f"{path}/model", groups)
 
 
+def test_shared_valid_days_and_sampling_by_order(spark, tmp_path):
+    data = replace(DATA, share_valid_days=True)
+    fit = FitSettings(prevalence=0.3, params={"maxIter": 2, "maxDepth": 2})
+    df = students(spark, 205, 4)
+    result = train_and_evaluate(df, None, data, fit, str(tmp_path))
+    assert result.model.valid_days == [S.calendar_position(*d) for d in DAYS]
+    new = infer(students(spark, 40, 5), None, data, f"{tmp_path}/model", "new")
+    assert new.model.valid_days == result.model.valid_days
+    # The kept positives are the first ones by arrival, not by id.
+    rows = {}
+    for r in sorted(df.select("ord", "studentid", "target").collect()):
+        rows.setdefault(r.studentid, (r.ord, r.target))
+    negatives = sum(1 for _, t in rows.values() if t == 0)
+    wanted = math.ceil(negatives * 0.3 / 0.7)
+    first = sorted((o, i) for i, (o, t) in rows.items() if t == 1)[:wanted]
+    kept = {r.studentid for f in result.frames.values() for r in f.filter("target = 1").collect()}
+    assert kept == {i for _, i in first}
+
+
 def test_isotonic_on_bins(spark):
     df = spark.createDataFrame([(0.1, 0.3), (0.2, 0.1), (0.6, 0.7)], "mean_score double, positive_rate double")
     fitted = calibration.fit_bins(df)
@@ -176,7 +197,3 @@ def test_loss_is_the_documented_one(spark, run):
     each = 2 * F.log1p(F.exp(-2 * (2 * F.col("target") - 1) * margin))
     mean = scored.agg(F.sum(each * F.col("__weight")) / F.sum("__weight")).first()[0]
     assert abs(mean - last.trn) < 1e-9
-
-
-def test_sequence_config_reaches_the_features():
-    assert SequenceConfig(partitions=[2]).partitions == [2]

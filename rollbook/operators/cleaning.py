@@ -35,8 +35,8 @@ def first_of_copies(df: DataFrame, id: str, order_key: str) -> DataFrame:
 
     Reads two columns only; copies of an id collapse before the shuffle.
     """
-    copies = df.groupBy(F.col(id).alias("__id")).agg(
-        F.min(order_key).alias("__first"), F.count(F.lit(1)).alias("__n")
+    copies = df.groupBy(F.col(f"`{id}`").alias("__id")).agg(
+        F.min(F.col(f"`{order_key}`")).alias("__first"), F.count(F.lit(1)).alias("__n")
     )
     return cut_lineage(copies.filter(F.col("__n") > 1).drop("__n"))
 
@@ -51,8 +51,8 @@ def drop_copies(df: DataFrame, firsts: DataFrame, id: str, order_key: str) -> Da
     if known == 0:
         return df
     side = F.broadcast(firsts) if known <= BROADCAST_IDS else firsts
-    joined = df.join(side, F.col(id).eqNullSafe(F.col("__id")), "left")
-    kept = joined.filter(F.col("__first").isNull() | (F.col(order_key) == F.col("__first")))
+    joined = df.join(side, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left")
+    kept = joined.filter(F.col("__first").isNull() | (F.col(f"`{order_key}`") == F.col("__first")))
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage, use_checkpoint_dir
 from rollbook.operators import (
-    attribution, calibration, cleaning, curves, enrolment, explanation, model, sampling, sequence, thresholds,
+    attribution, calibration, cleaning, curves, explanation, model, sampling, sequence, thresholds,
 )
 from rollbook.plans import catalog_data as data
 from rollbook.plans.explaining import explain

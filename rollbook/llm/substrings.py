@@ -178,7 +178,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
     """
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
-    t = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFFFFFF))
+    # A hash of the text tells rows with one id apart. It travels with every place, so it is left out where ids are unique.
+    shared = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    t = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) if shared else F.lit(0).cast("long")
     base = docs.select(docs["doc_id"].cast("long").alias("d"), t.alias("t"), docs["text"])
     gone = _with_places(base, repeated_windows(base, window), ["start", "n"], "left")
 

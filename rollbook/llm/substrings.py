@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ROW = {"d": "bigint", "t": "bigint"}
+#: Bits of the half-length hashes that travel: chance collisions only bring candidates that the full length refuses.
+_HALF_BITS = np.uint64(16)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,27 +84,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _keyed(part: pa.RecordBatch, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+def _keyed(part: pa.RecordBatch, keys: list[str], rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     take = pa.array(rows, pa.int64())
-    return pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *columns.values()], ["d", "t", *columns])
+    return pa.RecordBatch.from_arrays([*[part.column(k).take(take) for k in range(len(keys))], *columns.values()], [*keys, *columns])
 
 
-def _schema(**more: str) -> str:
-    return ", ".join(f"{c} {k}" for c, k in {**_ROW, **more}.items())
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["d"].eqNullSafe(b["d"]) & (a["t"] == b["t"])
+def _schema(keys: list[str], *more: str) -> str:
+    return ", ".join(f"{c} bigint" for c in (*keys, *more))
 
 
 def _with_places(base: DataFrame, places: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """Texts with the lists of their places, one list a column; a text's places are never more than its words."""
-    lists = places.groupBy("d", "t").agg(*[F.collect_list(c).alias(c) for c in columns])
-    return base.join(lists, _same(base, lists), how).select(base["d"], base["t"], base["text"], *[lists[c] for c in columns])
+    keys = base.columns[:-1]
+    lists = places.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in columns])
+    same = base["d"].eqNullSafe(lists["d"])
+    for k in keys[1:]:
+        same = same & (base[k] == lists[k])
+    return base.join(lists, same, how).select(*[base[c] for c in base.columns], *[lists[c] for c in columns])
 
 
 def repeated_windows(base: DataFrame, window: int) -> DataFrame:
-    """Runs of windows (d, t, start, n) whose words also start earlier: by smaller d (null first), then t, then place.
+    """Runs of windows (keys, start, n) whose words also start earlier, by key (null first) and place. `base`: keys and text.
 
     1. Half length: each text gives its anchors; anchors that occur once are dropped (about a sixth of all places is
        counted, and every repeated window holds a repeated anchor).
@@ -111,50 +112,55 @@ def repeated_windows(base: DataFrame, window: int) -> DataFrame:
        words are the same as an earlier run's is repeated as a whole.
     3. Full length, singly: where different runs share an anchor their first occurrences are compared window by window.
     """
+    keys = base.columns[:-1]
+    text = len(keys)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            w = Windows(part.column(2).to_pylist(), window)
+            w = Windows(part.column(text).to_pylist(), window)
             first, _ = w.runs()
             row, at = w.row[first], w.anchor[first]
-            yield _keyed(part, row, {"h": _signed(w.half[at]), "place": pa.array(at - w.start[row])})
+            yield _keyed(part, keys, row, {"h": _signed(w.half[at] >> _HALF_BITS), "place": pa.array(at - w.start[row])})
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            w = Windows(part.column(2).to_pylist(), window)
+            w = Windows(part.column(text).to_pylist(), window)
             mark = np.zeros(len(w.half) + 1, bool)
-            for start, places in zip(w.start, part.column(3)):
+            for start, places in zip(w.start, part.column(text + 1)):
                 mark[start + np.asarray(places.values)] = True
             first, n = w.runs(mark[w.anchor])
             row, at = w.row[first], w.at[first]
             whole = _mix(_mix(w.full[at], w.full[at + n - 1]), n.astype(np.uint64))
-            columns = {"h": _signed(w.half[w.anchor[first]]), "r": _signed(whole), "start": pa.array(at - w.start[row]), "n": pa.array(n)}
-            yield _keyed(part, row, columns)
+            columns = {"h": _signed(w.half[w.anchor[first]] >> _HALF_BITS), "r": _signed(whole), "start": pa.array(at - w.start[row]), "n": pa.array(n)}
+            yield _keyed(part, keys, row, columns)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            w = Windows(part.column(2).to_pylist(), window)
+            w = Windows(part.column(text).to_pylist(), window)
             rows, at = [], []
-            for i, (starts, ns) in enumerate(zip(part.column(3), part.column(4))):
+            for i, (starts, ns) in enumerate(zip(part.column(text + 1), part.column(text + 2))):
                 for a, k in zip(starts.as_py(), ns.as_py()):
                     rows += [i] * k
                     at += range(a, a + k)
             rows, at = np.array(rows, np.int64), np.array(at, np.int64)
-            yield _keyed(part, rows, {"h": _signed(w.full[w.start[rows] + at]), "start": pa.array(at)})
+            yield _keyed(part, keys, rows, {"h": _signed(w.full[w.start[rows] + at]), "start": pa.array(at)})
 
-    half = base.mapInArrow(anchors, _schema(h="bigint", place="bigint"))
+    half = base.mapInArrow(anchors, _schema(keys, "h", "place"))
     again = half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     alive = half.join(again, "h")
 
-    found = _with_places(base, alive, ["place"]).mapInArrow(runs, _schema(h="bigint", r="bigint", start="bigint", n="bigint"))
-    order = F.struct("d", "t", "start")
-    earliest = found.groupBy("r").agg(F.min(order).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"))
-    copies = found.select("d", "t", "start", "n", "r").join(earliest.select("r", "first"), "r").filter(order > F.col("first")).select("d", "t", "start", "n")
+    found = _with_places(base, alive, ["place"]).mapInArrow(runs, _schema(keys, "h", "r", "start", "n"))
+    order = F.struct(*keys, "start")
+    earliest = found.groupBy("r").agg(F.min(order).alias("first"))
+    placed = found.join(earliest, "r")
+    copies = placed.filter(order > F.col("first")).select(*keys, "start", "n")
 
-    several = earliest.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    edges = earliest.join(several, "h").select("first.d", "first.t", "first.start", "n")
-    single = _with_places(base, edges, ["start", "n"]).mapInArrow(singles, _schema(h="bigint", start="bigint"))
+    firsts = placed.filter(order == F.col("first")).select(*keys, "start", "n", "h")
+    several = firsts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    edges = firsts.join(several, "h").select(*keys, "start", "n")
+    single = _with_places(base, edges, ["start", "n"]).mapInArrow(singles, _schema(keys, "h", "start"))
     before = single.groupBy("h").agg(F.min(order).alias("first"))
-    late = single.join(before, "h").filter(order > F.col("first")).select("d", "t", "start", F.lit(1).cast("long").alias("n"))
+    late = single.join(before, "h").filter(order > F.col("first")).select(*keys, "start", F.lit(1).cast("long").alias("n"))
     return copies.unionAll(late)
 
 
@@ -180,14 +186,15 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
         raise ValueError("window must be an even number of at least 4 words")
     # A hash of the text tells rows with one id apart. It travels with every place, so it is left out where ids are unique.
     shared = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    t = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) if shared else F.lit(0).cast("long")
-    base = docs.select(docs["doc_id"].cast("long").alias("d"), t.alias("t"), docs["text"])
+    more = [F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t")] if shared else []
+    base = docs.select(docs["doc_id"].cast("long").alias("d"), *more, docs["text"])
+    at = len(base.columns) - 1
     gone = _with_places(base, repeated_windows(base, window), ["start", "n"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             out = []
-            for text, starts, ns in zip(part.column(2), part.column(3), part.column(4)):
+            for text, starts, ns in zip(part.column(at), part.column(at + 1), part.column(at + 2)):
                 words = (text.as_py() or "").encode().split()
                 if starts.is_valid:
                     removed, kept = without_repeats(words, np.asarray(starts.values), np.asarray(ns.values), window)

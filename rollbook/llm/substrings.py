@@ -151,13 +151,11 @@ def repeated_windows(base: DataFrame, window: int) -> DataFrame:
 
     found = _with_places(base, alive, ["place"]).mapInArrow(runs, _schema(keys, "h", "r", "start", "n"))
     order = F.struct(*keys, "start")
-    earliest = found.groupBy("r").agg(F.min(order).alias("first"))
-    placed = found.join(earliest, "r")
-    copies = placed.filter(order > F.col("first")).select(*keys, "start", "n")
+    earliest = found.groupBy("r").agg(F.min(order).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"))
+    copies = found.select(*keys, "start", "n", "r").join(earliest.select("r", "first"), "r").filter(order > F.col("first")).select(*keys, "start", "n")
 
-    firsts = placed.filter(order == F.col("first")).select(*keys, "start", "n", "h")
-    several = firsts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    edges = firsts.join(several, "h").select(*keys, "start", "n")
+    several = earliest.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    edges = earliest.join(several, "h").select("first.*", "n")
     single = _with_places(base, edges, ["start", "n"]).mapInArrow(singles, _schema(keys, "h", "start"))
     before = single.groupBy("h").agg(F.min(order).alias("first"))
     late = single.join(before, "h").filter(order > F.col("first")).select(*keys, "start", F.lit(1).cast("long").alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterable, Sequence
 
@@ -11,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def pattern_strings(combos: Iterable[tuple[int, Sequence[str]]]) -> list[str]:
-    """All strings of length 1..max_len over each alphabet, sorted, each once."""
-    found = set()
-    for max_len, chars in combos:
-        for length in range(1, int(max_len) + 1):
-            found.update("".join(letters) for letters in itertools.product(chars, repeat=length))
-    return sorted(found)
+    """All strings up to the given length over each alphabet, sorted, each once; blank ones are no patterns."""
+    found: set[str] = set()
+    for longest, alphabet in combos:
+        level = {""}
+        while level and len(next(iter(level))) < longest:
+            level = {s + c for s in level for c in alphabet}
+            found |= level
+    return sorted(s for s in found if not s.isspace())
 
 
 def border(pattern: str) -> int:
@@ -36,9 +37,6 @@ def count_overlapping(text: Column, pattern: str) -> Column:
     A pattern that cannot overlap itself is counted by the length its removal takes
     away, which needs no regular expression; the rest use a lookahead.
     """
-    pattern = pattern.strip()
-    if not pattern:
-        return F.lit(0)
     if border(pattern) == 0:
         removed = F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))
         return removed if len(pattern) == 1 else (removed / F.lit(len(pattern))).cast("int")

@@ -22,10 +22,12 @@ def score_table(df: DataFrame, score: str, label: str | None = None) -> DataFram
     """(score, n, pos, place, cum_n, cum_pos, total_n, total_pos) per distinct score.
 
     `place` numbers the scores from the highest down. Running counts include the row
-    itself and all higher scores. A label other than 0 or 1 is an error; without a label
+    itself and all higher scores. A null or NaN score and a label other than 0 or 1 are errors; without a label
     all counts of positives are 0.
     """
-    value = F.col(score).cast("double")
+    given = F.col(score).cast("double")
+    empty = given.isNull() | F.isnan(given)
+    value = F.when(empty, F.raise_error(F.lit(f"{score} must be a number in every row"))).otherwise(given)
     if label is None:
         positive = F.lit(0)
     else:

@@ -355,14 +355,19 @@ def pr_curve(spark, folder):
     return curves.pr_curve(_table(spark, folder))
 
 
+def _start_as_null(curve):
+    """The start point's threshold, above all scores, as null, which any SQL can write."""
+    return curve.withColumn("threshold", F.when(F.col("threshold") < float("inf"), F.col("threshold")))
+
+
 @query
 def roc_curve(spark, folder):
-    return curves.roc_curve(_table(spark, folder)).filter(F.col("threshold") < float("inf"))
+    return _start_as_null(curves.roc_curve(_table(spark, folder)))
 
 
 @query
 def roc_curve_full(spark, folder):
-    return curves.roc_curve(_table(spark, folder, 2), drop_intermediate=False).filter(F.col("threshold") < float("inf"))
+    return _start_as_null(curves.roc_curve(_table(spark, folder, 2), drop_intermediate=False))
 
 
 @query

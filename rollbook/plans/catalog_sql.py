@@ -77,9 +77,9 @@ def _overlaps(text: str, pattern: str) -> str:
 
 
 def _most(length: str, pattern: str) -> str:
-    k = len(pattern)
-    overlap = max((i for i in range(1, k) if pattern[:i] == pattern[-i:]), default=0)
-    return f"(1 + (({length}) - {k}) // {k - overlap})"
+    """Occurrences in the string that repeats the pattern's shortest period: no string of that length holds more."""
+    unit = next(pattern[:p] for p in range(1, len(pattern) + 1) if (pattern[:p] * len(pattern)).startswith(pattern))
+    return _overlaps(f"substr(repeat('{unit}', (({length}) // {len(unit)} + 1)::INTEGER), 1, ({length})::INTEGER)", pattern)
 
 
 def _fractions(group: str, parts: int, patterns: list[str]) -> str:
@@ -215,7 +215,7 @@ enrolled AS (
 dropouts AS (
   SELECT a.o_custkey, a.year::INTEGER AS year, CASE WHEN b.o_custkey IS NULL THEN 1 ELSE 0 END::INTEGER AS target
   FROM enrolled a LEFT JOIN enrolled b ON b.o_custkey = a.o_custkey AND b.year = a.year + 1
-  WHERE a.year BETWEEN 1995 AND 1999
+  WHERE a.year < (SELECT max(year) FROM enrolled)
 )"""
 
 _UNIFIED = (
@@ -382,8 +382,9 @@ SELECT id AS user_id, string_agg(CASE WHEN month = 1 AND status = 'p' THEN 'p' E
     "roc_curve": "WITH" + _scored() + """
 SELECT threshold, fpr, recall AS tpr FROM curve
 WINDOW w AS (ORDER BY place)
-QUALIFY lead(n) OVER w IS NULL OR lag(n) OVER w IS NULL OR lead(n - pos) OVER w <> n - pos OR lead(pos) OVER w <> pos""",
-    "roc_curve_full": "WITH" + _scored(2) + " SELECT threshold, fpr, recall AS tpr FROM curve",
+QUALIFY lead(n) OVER w IS NULL OR lag(n) OVER w IS NULL OR lead(n - pos) OVER w <> n - pos OR lead(pos) OVER w <> pos
+UNION ALL SELECT NULL, 0.0, 0.0""",
+    "roc_curve_full": "WITH" + _scored(2) + " SELECT threshold, fpr, recall AS tpr FROM curve UNION ALL SELECT NULL, 0.0, 0.0",
     "auc_roc": "WITH" + _scored(2) + """,
 steps AS (SELECT fpr - lag(fpr, 1, 0) OVER w AS dx, recall + lag(recall, 1, 0) OVER w AS y FROM curve WINDOW w AS (ORDER BY place))
 SELECT round(sum(dx * y / 2), 9) AS roc_auc FROM steps""",

@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -34,55 +33,114 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Sums over the segmentations of words, with natural log probabilities of the pieces."""
+    """Sums over the segmentations of many words at once, with natural log probabilities of the pieces.
+
+    The words lie end to end in one array of code points, each behind a start mark and followed by one empty place. An
+    arc leads from the place where a piece starts to the place behind it. Pieces are found by a trie, kept as sorted
+    numbers of node and character.
+    """
 
     def __init__(self, pieces: list[str], logs: np.ndarray):
-        self.logs = logs.tolist()
+        self.logs = np.asarray(logs, np.float64)
         self.bytes = {p: i for i, p in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")}
-        self.finder = ahocorasick.Automaton()
-        for i, p in enumerate(pieces):
-            if p not in self.bytes:
-                self.finder.add_word(p, (len(p), i))
-        self.finder.make_automaton()
-
-    def _arcs(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, log weight, pieces). Every character also has the arc of its bytes."""
-        arcs: list[list] = [[] for _ in range(len(text) + 1)]
-        for stop, (size, piece) in self.finder.iter(text):
-            arcs[stop + 1].append((stop + 1 - size, self.logs[piece], (piece,)))
-        for i, c in enumerate(text):
-            ids = tuple(self.bytes[f"<0x{b:02X}>"] for b in c.encode() if f"<0x{b:02X}>" in self.bytes)
-            arcs[i + 1].append((i, sum(self.logs[b] for b in ids) if ids else 3 * _FLOOR, ids))
-        return arcs
-
-    @staticmethod
-    def _sum(terms: list[float]) -> float:
-        top = max(terms)
-        return top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms))
-
-    def forward(self, arcs: list) -> list[float]:
-        alpha = [0.0]
-        for here in arcs[1:]:
-            alpha.append(self._sum([alpha[start] + w for start, w, _ in here]))
-        return alpha
+        whole = {p: i for i, p in enumerate(pieces) if p not in self.bytes}
+        node = {q: i for i, q in enumerate(sorted({p[:k] for p in whole for k in range(len(p) + 1)} | {""}, key=len))}
+        edges = sorted((node[q[:-1]] << 21 | ord(q[-1]), i) for q, i in node.items() if q)
+        self.edge = np.array([e for e, _ in edges], np.int64)
+        self.child = np.array([i for _, i in edges], np.int64)
+        self.piece = np.full(len(node), -1, np.int64)
+        for p, i in whole.items():
+            self.piece[node[p]] = i
+
+    def _byte_ids(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes[f"<0x{b:02X}>"] for b in char.encode() if f"<0x{b:02X}>" in self.bytes)
+
+    def _lay_out(self, words: list[str]) -> None:
+        """Places and arcs of these words. Every character has the arc of its bytes besides those of pieces."""
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        text = np.frombuffer("".join(f"{_START}{w}\0" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.end = np.cumsum(sizes) - 1
+        self.first = self.end - sizes + 1
+        self.place = np.arange(len(text)) - np.repeat(self.first, sizes)
+        inside = np.ones(len(text), bool)
+        inside[self.end] = False
+        at = np.flatnonzero(inside)
+        chars, char = np.unique(text[at], return_inverse=True)
+        self.char_ids = [self._byte_ids(chr(c)) for c in chars]
+        by_bytes = np.array([sum(self.logs[b] for b in ids) if ids else 3 * _FLOOR for ids in self.char_ids])
+        # Kinds of arcs: pieces by number, then the characters.
+        start, stop, kind, weight = [at], [at + 1], [len(self.logs) + char], [by_bytes[char]]
+        node, size = np.zeros(len(at), np.int64), 0
+        while len(at) and len(self.edge):
+            key = node << 21 | text[at + size]
+            edge = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            there = (self.edge[edge] == key) & inside[at + size]
+            at, node, size = at[there], self.child[edge[there]], size + 1
+            piece = self.piece[node]
+            some = piece >= 0
+            start.append(at[some])
+            stop.append(at[some] + size)
+            kind.append(piece[some])
+            weight.append(self.logs[piece[some]])
+        self.start, self.stop, self.kind, self.weight = (np.concatenate(x) for x in (start, stop, kind, weight))
+
+    def _sums(self, source: np.ndarray, to: np.ndarray, level: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Log of the summed weights of all paths from `begin` to each place; all arcs of a level are taken together."""
+        value = np.full(len(self.place), -math.inf)
+        value[begin] = 0.0
+        order = np.lexsort((to, level))
+        source, to, level, weight = source[order], to[order], level[order], self.weight[order]
+        heads = np.flatnonzero(np.diff(to, prepend=-1))
+        own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(to))))
+        arcs = np.append(np.flatnonzero(np.diff(level, prepend=level[0] - 1)), len(level))
+        for a, b in zip(arcs[:-1].tolist(), arcs[1:].tolist()):
+            low, high = own[a], own[b - 1] + 1
+            terms = value[source[a:b]] + weight[a:b]
+            groups = heads[low:high] - a
+            top = np.maximum.reduceat(terms, groups)
+            value[to[heads[low:high]]] = top + np.log(np.add.reduceat(np.exp(terms - top[own[a:b] - low]), groups))
+        return value
+
+    def _forward(self) -> np.ndarray:
+        return self._sums(self.start, self.stop, self.place[self.stop], self.first)
 
     def log_probability(self, word: str) -> float:
-        return self.forward(self._arcs(_START + word))[-1]
-
-    def expected(self, word: str, counts: np.ndarray) -> None:
-        """Adds the expected number of each piece in a word."""
-        arcs = self._arcs(_START + word)
-        alpha = self.forward(arcs)
-        beta = [-math.inf] * len(arcs)
-        beta[-1] = 0.0
-        for stop in range(len(arcs) - 1, 0, -1):
-            for start, w, ids in arcs[stop]:
-                through = w + beta[stop]
-                share = math.exp(alpha[start] + through - alpha[-1])
+        return float(self.log_probabilities([word])[0])
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each word the log of its probability, summed over all its segmentations."""
+        out = [np.empty(0)]
+        for part in _portions(words):
+            self._lay_out(part)
+            out.append(self._forward()[self.end])
+        return np.concatenate(out)
+
+    def expected(self, words: list[str], counts: np.ndarray) -> None:
+        """Adds the expected number of each piece in these words."""
+        for part in _portions(words):
+            self._lay_out(part)
+            alpha = self._forward()
+            beta = self._sums(self.stop, self.start, -self.place[self.start], self.end)
+            whole = np.repeat(alpha[self.end], self.end - self.first + 1)[self.start]
+            share = np.exp(alpha[self.start] + self.weight + beta[self.stop] - whole)
+            found = np.bincount(self.kind, share, len(self.logs) + len(self.char_ids))
+            counts += found[: len(self.logs)]
+            for ids, n in zip(self.char_ids, found[len(self.logs) :]):
                 for i in ids:
-                    counts[i] += share
-                low, high = sorted((beta[start], through))
-                beta[start] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+                    counts[i] += n
+
+
+def _portions(words: list[str], characters: int = 100_000) -> Iterator[list[str]]:
+    """Words in lists of about so many characters, in their order; only one longer than that makes a list larger."""
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w) + 2
+        if size >= characters:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _train(doc_id: Column) -> Column:
@@ -129,8 +187,7 @@ def fit_pieces(counts: DataFrame, setting: Setting) -> tuple[list[str], np.ndarr
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, found = Lattice(*shared.value), np.zeros(len(shared.value[0]))
             for part in chunks(batches, 4096):
-                for word in part.column(0).to_pylist():
-                    lattice.expected(word, found)
+                lattice.expected(part.column(0).to_pylist(), found)
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["piece", "n"])
 
@@ -151,7 +208,7 @@ def score(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     every task (a fixed number of them); words beyond are joined by word, partial sums first.
 
     Null texts are empty: one token, the end. Rows without id count as training rows. Repeated rows count and return
-    each; an empty table gives an empty result; extra columns are ignored. Very long words cost time in proportion.
+    each; an empty table gives an empty result; extra columns are ignored. Very long words cost time and memory in proportion.
     """
     counts = cut_lineage(word_counts(docs))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -169,7 +226,7 @@ def score(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
         model = Lattice(*lattice.value)
         for part in chunks(batches, 4096):
             words = part.column(0).to_pylist()
-            pieced = np.array([model.log_probability(w) for w in words]) + math.log(spared)
+            pieced = model.log_probabilities(words) + math.log(spared)
             whole = np.maximum(part.column(1).to_numpy().astype(np.float64) - discount, 0) / max(n, 1)
             logp = np.logaddexp(pieced, np.log(np.maximum(whole, 1e-300))) / math.log(10)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logp, pa.float64())], ["word", "c", "uses", "logp"])

@@ -185,7 +185,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
     # A hash of the text tells rows with one id apart. It travels with every place, so it is left out where ids are unique.
     shared = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     more = [F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t")] if shared else []
-    base = docs.select(docs["doc_id"].cast("long").alias("d"), *more, docs["text"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("d"), *more, docs["text"])
+    base = _with_copies(rows)
     at = len(base.columns) - 1
     gone = _with_places(base, repeated_windows(base, window), ["start", "n"], "left")
 

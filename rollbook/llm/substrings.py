@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, n_words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the half-length hashes that travel: chance collisions only bring candidates that the full length refuses.
@@ -97,14 +97,18 @@ def _with_places(base: DataFrame, places: DataFrame, columns: list[str], how: st
     """Texts with the lists of their places, one list a column; a text's places are never more than its words."""
     keys = base.columns[:-1]
     lists = places.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in columns])
-    same = base["d"].eqNullSafe(lists["d"])
-    for k in keys[1:]:
-        same = same & (base[k] == lists[k])
-    return base.join(lists, same, how).select(*[base[c] for c in base.columns], *[lists[c] for c in columns])
+    return base.join(lists, keys, how).select(*base.columns, *columns)
+
+
+def _split_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (keys and text) with the first key of each text, and the others: whole copies, all of whose windows start earlier."""
+    keys = rows.columns[:-1]
+    firsts = rows.groupBy(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("m")).agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
+    return rows.join(firsts, keys, "left_semi").select(*rows.columns), rows.join(firsts, keys, "left_anti").select(*rows.columns)
 
 
 def repeated_windows(base: DataFrame, window: int) -> DataFrame:
-    """Runs of windows (keys, start, n) whose words also start earlier, by key (null first) and place. `base`: keys and text.
+    """Runs of windows (keys, start, n) whose words also start earlier, by key and place. `base`: keys, none of them null, and text.
 
     1. Half length: each text gives its anchors; anchors that occur once are dropped (about a sixth of all places is
        counted, and every repeated window holds a repeated anchor).
@@ -177,18 +181,25 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
     A word goes if a window of `window` (even) words over it starts earlier too: in a row with a smaller id, or further
     up in the same text. Null ids come before all others; of rows with the same id, those with other texts follow in an
     order of their own, and rows equal in id and text are one document, all of which return the same. Null and empty
-    texts have no words. An empty table gives an empty result; extra columns are ignored. Whole texts are used. Texts are
-    shuffled once; frequent passages meet in counts and minima, and joins on them can be split.
+    texts have no words. An empty table gives an empty result; extra columns are ignored. Whole texts are used. Of
+    equal texts only the first is searched. Texts are shuffled once; frequent passages meet in counts and minima, and joins on them can be split.
     """
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
-    # A hash of the text tells rows with one id apart. It travels with every place, so it is left out where ids are unique.
+    # A hash of the text tells rows with one id apart, a mark sets null ids first. Keys travel with every place, so
+    # both are left out where ids are unique and never null.
+    one = docs["doc_id"].cast("long")
+    mark = [] if docs.filter(docs["doc_id"].isNull()).isEmpty() else [one.isNotNull().cast("long").alias("z")]
     shared = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     more = [F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t")] if shared else []
-    rows = docs.select(docs["doc_id"].cast("long").alias("d"), *more, docs["text"])
-    base = _with_copies(rows)
+    base, copies = _split_copies(docs.select(*mark, F.coalesce(one, F.lit(0)).alias("d"), *more, docs["text"]))
     at = len(base.columns) - 1
     gone = _with_places(base, repeated_windows(base, window), ["start", "n"], "left")
+    runs = n_words("text") - window + 1
+    entry = lambda c: F.when(runs > 0, F.array(c.cast("long")))
+    gone = gone.unionAll(copies.select("*", entry(F.lit(0)).alias("start"), entry(runs).alias("n")))
+
+    keys, results = base.columns[:at], ["n_words", "n_removed", "kept_sha256", "kept"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -202,6 +213,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
                 out.append((len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 if texts else 3]
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 1 + len(columns)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], *columns], [*keys, *results[: len(columns)]])
 
-    return gone.mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if texts else ""))
+    schema = _schema(keys, "n_words", "n_removed") + ", kept_sha256 string" + (", kept string" if texts else "")
+    doc_id = F.when(F.col("z") == 1, F.col("d")) if mark else F.col("d")
+    return gone.mapInArrow(finish, schema).select(doc_id.alias("doc_id"), *results[: 4 if texts else 3])

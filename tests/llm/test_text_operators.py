@@ -223,3 +223,28 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in result.collect()} <= first - leaked
     assert result.columns == docs.columns and result.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_many_words_are_summed_as_one_is():
+    pieces = ["▁", "a", "b", "ab", "▁a", "<0x61>", "<0xC3>", "<0xA9>"]
+    logs = np.log(np.arange(1, 9) / 36)
+    words = ["ab", "", "abba" * 40, "éa", "a\0b", "b"] * 50
+    lattice = lm.Lattice(pieces, logs)
+    many, counts, one_by_one = lattice.log_probabilities(words), np.zeros(8), np.zeros(8)
+    assert np.allclose(many, [lattice.log_probability(w) for w in words], rtol=1e-12)
+    lattice.expected(words, counts)
+    for w in words:
+        lattice.expected([w], one_by_one)
+    assert np.allclose(counts, one_by_one, rtol=1e-9)
+    counts[:] = 0
+    lattice.expected(["a"], counts)
+    # Paths: mark and a, mark and byte 61, and both in one piece; the mark's own bytes are not all pieces.
+    assert math.isclose(counts[4] + counts[1] + counts[5], 1.0, rel_tol=1e-9) and counts[2] == 0
+
+
+def test_copies_null_ids_and_shared_ids_in_substring_dedup(spark):
+    tail = " ".join(f"tail{i}" for i in range(25))
+    rows = [(5, PASSAGE), (None, PASSAGE), (7, PASSAGE + " " + tail), (8, tail), (8, "other " + tail), (9, "few words"), (10, "few words"), (11, PASSAGE), (12, None), (13, "")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    fixed = [(5, 60, 60), (None, 60, 0), (7, 85, 60), (8, 25, 25), (8, 26, 25), (9, 2, 0), (10, 2, 0), (11, 60, 60), (12, 0, 0), (13, 0, 0)]
+    assert got == collections.Counter(fixed)

@@ -35,12 +35,23 @@ class SequenceConfig:
 
 
 def day_columns(names: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """Columns named `month_day` -> (month, day), in the given order."""
+    """Columns named `month_day` -> (month, day), in the given order.
+
+    Each has one place of its own in the year: months outside 1..12, days outside 1..31, and two columns for the same
+    day (`6_1` and `06_1`) are errors. Dates such as 31 June have a place and are allowed.
+    """
     found = {}
     for name in names:
         match = re.match(v.DAY_COLUMN, name)
         if match:
             found[name] = int(match.group(1)), int(match.group(2))
+    wrong = [name for name, (month, day) in found.items() if not (1 <= month <= 12 and 1 <= day <= calendar.MONTH_DAYS)]
+    if wrong:
+        raise ValueError(f"day columns outside the year: {', '.join(wrong)}")
+    dates = list(found.values())
+    twice = [name for name, date in found.items() if dates.count(date) > 1]
+    if twice:
+        raise ValueError(f"several columns for one day: {', '.join(twice)}")
     return found
 
 
@@ -63,10 +74,18 @@ def _one_char(status: Column) -> Column:
     )
 
 
+def _place(month: Column, day: Column) -> Column:
+    """Position of a date; null without one, an error for a month or day that does not exist."""
+    wrong = ~(month.between(1, 12) & day.between(1, calendar.MONTH_DAYS))
+    told = F.concat(F.lit("a date outside the year: month "), month.cast("string"), F.lit(", day "), day.cast("string"))
+    return F.when(wrong, F.raise_error(told)).otherwise(calendar.position(month, day))
+
+
 def build_sequence(long: DataFrame, by: str | Sequence[str]) -> DataFrame:
     """Rows (id.., month, day, status) to (id.., days), one string of 372 characters per id.
 
-    Days without a row, and rows without a status, are missing. Where a day has several
+    Days without a row, and rows without a status, are missing; rows without month or day mark no day, and months
+    outside 1..12 or days outside 1..31 are errors. Where a day has several
     rows, present wins over absent, absent over any other status and missing comes last.
 
     Two aggregations: the first reduces the rows to one small number per id and day, on
@@ -81,7 +100,7 @@ def build_sequence(long: DataFrame, by: str | Sequence[str]) -> DataFrame:
     per_day = (
         long.select(
             *by,
-            calendar.position(F.col("month"), F.col("day")).cast("int").alias("pos"),
+            _place(F.col("month"), F.col("day")).cast("int").alias("pos"),
             (rank * 256 + F.ascii(_one_char(status))).alias("code"),
         )
         .groupBy(*by, "pos")
@@ -120,14 +139,17 @@ def calendar_position(month: int, day: int) -> int:
 
 
 def missing_shares(sequences: DataFrame, days: str = "days") -> DataFrame:
-    """(pos, month, day, missing_share) for every date of the year, over all given rows."""
+    """(pos, month, day, missing_share) for every date of the year, over all given rows.
+
+    Places that are no date, such as 31 June, are left out unless a row has a mark there.
+    """
     per_day = (
         sequences.select(F.posexplode(F.split(days, "")).alias("pos", "status"))
         .groupBy("pos")
         .agg(F.avg(F.when(F.col("status") == v.MISSING, 1.0).otherwise(0.0)).alias("missing_share"))
     )
     month = (F.floor(F.col("pos") / calendar.MONTH_DAYS).cast("int") + 5) % 12 + 1
-    return per_day.filter(F.col("pos").isin(calendar.real_positions())).select(
+    return per_day.filter(F.col("pos").isin(calendar.real_positions()) | (F.col("missing_share") < 1)).select(
         "pos", month.alias("month"), (F.col("pos") % calendar.MONTH_DAYS + 1).alias("day"), "missing_share"
     )
 

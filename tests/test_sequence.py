@@ -144,3 +144,20 @@ def test_features_are_one_projection(spark):
     days = spark.createDataFrame([("p" * 372,)], "days string")
     plan = plan_of(S.attendance_features(days, list(range(372))))
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("columns", [["6_1", "13_1"], ["6_32", "7_1"], ["0_1"], ["6_0"], ["6_1", "06_1"]])
+def test_day_columns_without_a_place_of_their_own_are_refused(spark, columns):
+    df = spark.createDataFrame([("x", *["p"] * len(columns))], ["id", *columns])
+    with pytest.raises(ValueError, match=columns[-1] if columns[-1] != "7_1" else "6_32"):
+        S.sequence_from_wide(df)
+
+
+def test_dates_that_do_not_exist(spark):
+    for month, day in ((13, 1), (6, 32)):
+        long = spark.createDataFrame([(1, month, day, "p")], "id int, month int, day int, status string")
+        with pytest.raises(Exception, match="outside the year"):
+            S.build_sequence(long, "id").collect()
+    marked = S.sequence_from_wide(spark.createDataFrame([("x", "p", "m")], ["id", "6_31", "2_30"]))
+    shares = {(r.month, r.day): r.missing_share for r in S.missing_shares(marked).collect()}
+    assert shares[6, 31] == 0.0 and (2, 30) not in shares and len(shares) == 367

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,19 @@ def dropout_label(enrol: DataFrame, id: str, year: str, last_year: int | None =
     )
 
 
-def exams_wide(exams: DataFrame, id: str, subject: str, score: str, subjects: list[str]) -> DataFrame:
-    """One row per id with `<subject>_score` columns; several marks of a subject keep the best."""
-    wide = exams.groupBy(id).pivot(subject, subjects).agg(F.max(score))
-    return wide.select(id, *[F.col(f"`{s}`").alias(f"{s}_score") for s in subjects])
+def exams_wide(
+    exams: DataFrame, id: str | Sequence[str], subject: str, score: str, subjects: list[str]
+) -> DataFrame:
+    """One row per id (one or several columns) with `<subject>_score` columns; several marks of a subject keep the best."""
+    by = [id] if isinstance(id, str) else list(id)
+    wide = exams.groupBy(*by).pivot(subject, subjects).agg(F.max(score))
+    return wide.select(*by, *[F.col(f"`{s}`").alias(f"{s}_score") for s in subjects])
 
 
-def unify(enrol: DataFrame, sequences: DataFrame, exams: DataFrame, id: str) -> DataFrame:
+def unify(enrol: DataFrame, sequences: DataFrame, exams: DataFrame, id: str | Sequence[str]) -> DataFrame:
     """One row per enrolled id with its day statuses and exam columns, where it has any.
 
     All three inputs hold one row per id.
     """
-    return enrol.join(sequences, id, "left").join(exams, id, "left")
+    by = [id] if isinstance(id, str) else list(id)
+    return enrol.join(sequences, by, "left").join(exams, by, "left")

@@ -194,10 +194,21 @@ def quality_report(spark, folder):
     return cleaning.quality_report(orders, rules, "studentid", "target", known)
 
 
+def _student():
+    """One student per customer and year."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in data.ENROLMENT])
+
+
 @query
 def preprocess(spark, folder):
+    # The first day of every month, marked as in the events.
+    days = [
+        F.when(mark == "p", "click").when(mark == "a", "error").alias(f"{month}_1")
+        for month in range(1, 13)
+        for mark in [F.substring("days", sequence.calendar_position(month, 1) + 1, 1)]
+    ]
     rows = data.unified_customers(spark, folder).select(
-        F.col("o_custkey").cast("string").alias("STUDENTID"),
+        _student().alias("STUDENTID"),
         F.col("target"),
         F.col("nation"),
         F.col("segment"),
@@ -206,10 +217,11 @@ def preprocess(spark, folder):
         F.lit(None).cast("string").alias("urgent_attnd"),
         F.col("low_score"),
         F.lit(None).cast("string").alias("low_attnd"),
-        F.col("o_custkey").alias("arrival"),
+        *days,
+        (F.col("year") * 2**40 + F.col("o_custkey")).alias("arrival"),
     )
     clean, _, _ = cleaning.preprocess(
-        rows, data.customer_contract(), data.customer_statuses(), "arrival",
+        rows, data.customer_contract(), contract.status_map(data.EVENT_MEANING), "arrival",
         {"notin": {"nation": ["NATION_3"]}, "in": {"segment": ["nan", "BUILDING", "HOUSEHOLD"]}},
     )
     return clean.withColumn("balance", F.round("balance", 6))
@@ -299,7 +311,7 @@ def seq_pattern_overlap(spark, folder):
 
 def _order_groups(spark, folder, **settings):
     return sequence.features_from_long(
-        data.order_marks(spark, folder), "o_custkey", config=sequence.SequenceConfig(**settings)
+        data.order_marks(spark, folder), data.ENROLMENT, config=sequence.SequenceConfig(**settings)
     )
 
 
@@ -326,7 +338,7 @@ def seq_binary_absence(spark, folder):
 
 @query
 def wide_to_long(spark, folder):
-    flags = {f"1_{d}": F.max(F.when((F.dayofmonth("ts") == d) & (F.col("event_type") != "error"), "p")) for d in range(1, 8)}
+    flags = {f"1_{d}": F.max(F.when((F.dayofmonth("ts") == d) & (F.col("event_type") != "error"), "p")) for d in range(1, 32)}
     wide = data.table(spark, folder, "events").groupBy("user_id").agg(*[x.alias(n) for n, x in flags.items()])
     return sequence.to_long(wide, "user_id")
 
@@ -551,7 +563,7 @@ _PARAMS = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "balanced": True}
 def _customer_features(spark, folder):
     rows = cut_lineage(data.unified_customers(spark, folder))
     positions = sequence.positions_of(sequence.valid_days(rows))
-    features = sequence.attendance_features(rows, positions).withColumnRenamed("o_custkey", "studentid")
+    features = sequence.attendance_features(rows, positions).select(_student().alias("studentid"), "*").drop(*data.ENROLMENT)
     scores = ["urgent_score", "low_score"]
     clean = cleaning.fill_exam_scores(cleaning.fill_strings(features, ["nation", "segment"]), scores)
     return cut_lineage(cleaning.fill_float_means(clean, ["balance"]))

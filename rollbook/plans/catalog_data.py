@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators import enrolment, sequence
-from rollbook.sources import calendar, contract
+from rollbook.sources import calendar
+
+# What a row of the unified customer table stands for.
+ENROLMENT = ["o_custkey", "year"]
 
 # Which event types mean what; `signup` is left out on purpose and passes through.
 EVENT_MEANING = {"present": ["click", "view", "purchase"], "absent": ["error"], "missing": ["nan"]}
@@ -45,14 +48,14 @@ def sundays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_marks(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
-    """Order days per customer in the academic year that begins in `start`; failed orders count as absent."""
+def order_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Order days per customer and academic year; failed orders count as absent."""
     date = F.col("o_orderdate")
     return (
         table(spark, folder, "orders")
-        .filter(calendar.within_years(date, start, start))
         .select(
             "o_custkey",
+            calendar.year_start(date).alias("year"),
             F.month(date).alias("month"),
             F.dayofmonth(date).alias("day"),
             F.when(F.col("o_orderstatus") == "F", "a").otherwise("p").alias("status"),
@@ -60,8 +63,8 @@ def order_marks(spark: SparkSession, folder: str, start: int = 1997) -> DataFram
     )
 
 
-def order_sequences(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
-    return sequence.build_sequence(order_marks(spark, folder, start), "o_custkey")
+def order_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return sequence.build_sequence(order_marks(spark, folder), ENROLMENT)
 
 
 def scored_orders(spark: SparkSession, folder: str, digits: int | None = None) -> DataFrame:
@@ -115,6 +118,7 @@ def customer_contract() -> dict[str, list]:
         "nation": ["string", "nation", "place"],
         "segment": ["string", "market segment", "trade"],
         "balance": ["float", "account balance", "trade"],
+        **{f"{month}_1": ["string", "orders on the first of a month", "all_attendances"] for month in range(1, 13)},
         "urgent_score": ["float", "highest price of an urgent order", "exam_score_subwise"],
         "urgent_attnd": ["string", "derived from the price", "exam_attnd_subwise"],
         "low_score": ["float", "highest price of a low-priority order", "exam_score_subwise"],
@@ -122,17 +126,17 @@ def customer_contract() -> dict[str, list]:
     }
 
 
-def unified_customers(spark: SparkSession, folder: str, start: int = 1997) -> DataFrame:
-    """One row per customer who ordered in the year, with label, static columns, scores and `days`."""
-    labels = dropouts(spark, folder).filter(F.col("year") == start)
+def unified_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer and year with an order, with label, static columns, scores and `days`."""
+    labels = dropouts(spark, folder)
     exams = enrolment.exams_wide(
         table(spark, folder, "orders")
-        .filter(calendar.within_years(F.col("o_orderdate"), start, start))
+        .withColumn("year", calendar.year_start(F.col("o_orderdate")))
         .withColumn(
             "subject",
             F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "5-LOW", "low"),
         ),
-        "o_custkey",
+        ENROLMENT,
         "subject",
         "o_totalprice",
         ["urgent", "low"],
@@ -143,15 +147,11 @@ def unified_customers(spark: SparkSession, folder: str, start: int = 1997) -> Da
         labels.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            "o_custkey",
+            *ENROLMENT,
             "target",
             F.col("n_name").alias("nation"),
             F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("segment"),
             F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"),
         )
     )
-    return enrolment.unify(enrol, order_sequences(spark, folder, start), exams, "o_custkey")
-
-
-def customer_statuses() -> dict[str, str]:
-    return contract.status_map({"present": ["1"], "absent": ["2"], "missing": ["nan", "5", "0"]})
+    return enrolment.unify(enrol, order_sequences(spark, folder), exams, ENROLMENT)

@@ -31,17 +31,17 @@ _ORDER_DAYS = (
     _POSITIONS
     + """,
 year_orders AS (
-  SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' AND o_orderdate < TIMESTAMP '1998-06-01'
+  SELECT *, (year(o_orderdate) - CASE WHEN month(o_orderdate) < 6 THEN 1 ELSE 0 END)::INTEGER AS year FROM orders
 ),
 marks AS (
-  SELECT o_custkey, month(o_orderdate) AS month, day(o_orderdate) AS day,
+  SELECT {'o_custkey': o_custkey, 'year': year} AS id, month(o_orderdate) AS month, day(o_orderdate) AS day,
          CASE WHEN count(*) FILTER (o_orderstatus <> 'F') > 0 THEN 'p' ELSE 'a' END AS status
   FROM year_orders GROUP BY ALL
 ),
 dense AS (
-  SELECT u.o_custkey AS id, p.pos, p.month, p.day, coalesce(m.status, 'm') AS status
-  FROM (SELECT DISTINCT o_custkey FROM year_orders) u CROSS JOIN positions p
-  LEFT JOIN marks m ON m.o_custkey = u.o_custkey AND m.month = p.month AND m.day = p.day
+  SELECT u.id, p.pos, p.month, p.day, coalesce(m.status, 'm') AS status
+  FROM (SELECT DISTINCT id FROM marks) u CROSS JOIN positions p
+  LEFT JOIN marks m ON m.id = u.id AND m.month = p.month AND m.day = p.day
 )"""
 )
 
@@ -224,14 +224,17 @@ _UNIFIED = (
     + _LABELS
     + """,
 strings AS (SELECT id, string_agg(status, '' ORDER BY pos) AS days FROM dense GROUP BY id),
+best AS (
+  SELECT o_custkey, year, max(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS urgent_score,
+         max(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS low_score
+  FROM year_orders GROUP BY ALL
+),
 unified AS (
-  SELECT d.o_custkey, d.target, n_name AS nation, nullif(c_mktsegment, 'MACHINERY') AS segment,
-         CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance, s.days,
-         (SELECT max(o_totalprice) FROM year_orders y WHERE y.o_custkey = d.o_custkey AND o_orderpriority = '1-URGENT') AS urgent_score,
-         (SELECT max(o_totalprice) FROM year_orders y WHERE y.o_custkey = d.o_custkey AND o_orderpriority = '5-LOW') AS low_score
+  SELECT d.o_custkey, d.year, d.target, n_name AS nation, nullif(c_mktsegment, 'MACHINERY') AS segment,
+         CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance, s.days, urgent_score, low_score
   FROM dropouts d JOIN customer ON c_custkey = d.o_custkey JOIN nation ON n_nationkey = c_nationkey
-  LEFT JOIN strings s ON s.id = d.o_custkey
-  WHERE d.year = 1997
+  LEFT JOIN strings s ON s.id.o_custkey = d.o_custkey AND s.id.year = d.year
+  LEFT JOIN best b ON b.o_custkey = d.o_custkey AND b.year = d.year
 )"""
 )
 
@@ -316,11 +319,12 @@ SELECT unnest(['studentid', 'target', 'target', 'target', '6_1', '6_1', 'price',
        unnest([0, 0, 0, label, nulls, unknown, 0, cheap, dup])::BIGINT AS n FROM c, d""",
     "preprocess": "WITH" + _UNIFIED + """,
 filled AS (
-  SELECT o_custkey::VARCHAR AS studentid, nation, coalesce(segment, 'nan') AS segment,
+  SELECT o_custkey || '-' || year AS studentid, nation, coalesce(segment, 'nan') AS segment,
          CASE WHEN urgent_score IS NULL THEN 'm' WHEN urgent_score > 0 THEN 'p' ELSE 'a' END AS urgent_attnd,
          CASE WHEN low_score IS NULL THEN 'm' WHEN low_score > 0 THEN 'p' ELSE 'a' END AS low_attnd,
          round(coalesce(balance, (SELECT avg(balance) FROM unified)), 6) AS balance,
-         coalesce(urgent_score, 0) AS urgent_score, coalesce(low_score, 0) AS low_score, target::BIGINT AS target
+         coalesce(urgent_score, 0) AS urgent_score, coalesce(low_score, 0) AS low_score, target::BIGINT AS target,
+         """ + ", ".join(f"substr(days, {(m + 6) % 12 * 31 + 1}, 1) AS \"{m}_1\"" for m in range(1, 13)) + """
   FROM unified
 )
 SELECT * FROM filled WHERE nation <> 'NATION_3' AND segment IN ('nan', 'BUILDING', 'HOUSEHOLD')""",
@@ -362,19 +366,19 @@ SELECT 'train' AS split, label, size AS n, size AS ids FROM sizes UNION ALL SELE
     "seq_pattern_overlap": "WITH" + _VALID_EVENTS + "," + _sequence("jan", "d.month = 1") + "\nSELECT id AS user_id,\n  "
     + ",\n  ".join((_fractions("jan", 1, _PATTERNS), _fractions("jan", 2, _PATTERNS), _lasts("jan"))) + "\nFROM jan",
     "month_groups": "WITH" + _VALID_ORDERS + "," + _sequence("first", "d.month IN (6, 7, 8)").replace("\nfirst", '\n"first"') + ","
-    + _sequence("mixed", "d.month IN (12, 1, 5)") + "\nSELECT id AS o_custkey,\n  "
+    + _sequence("mixed", "d.month IN (12, 1, 5)") + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  "
     + ",\n  ".join(
         x.replace("first.", "f.")
         for x in (_fractions("first", 2, ["a", "p"]), _lasts("first"), _fractions("mixed", 2, ["a", "p"]), _lasts("mixed"))
     )
     + '\nFROM "first" f JOIN mixed USING (id)',
     "seq_last": "WITH" + _VALID_ORDERS + "," + _sequence("full", _ALL_MONTHS).replace("\nfull", '\n"full"')
-    + "\nSELECT id AS o_custkey,\n  " + _lasts("full").replace("full.", "f.") + '\nFROM "full" f',
+    + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  " + _lasts("full").replace("full.", "f.") + '\nFROM "full" f',
     "seq_binary_absence": "WITH" + _VALID_ORDERS + "," + _sequence("bin", _BINARY_MONTHS)
-    + "\nSELECT id AS o_custkey,\n  " + _binary("bin", [10, 30, 60, 400]) + "\nFROM bin",
+    + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  " + _binary("bin", [10, 30, 60, 400]) + "\nFROM bin",
     "wide_to_long": """
 SELECT user_id, 1::INTEGER AS month, d::INTEGER AS day, max(CASE WHEN event_type <> 'error' AND day(ts) = d THEN 'p' END) AS status
-FROM events CROSS JOIN range(1, 8) AS r(d) GROUP BY ALL""",
+FROM events CROSS JOIN range(1, 32) AS r(d) GROUP BY ALL""",
     "seq_from_wide": "WITH" + _EVENT_DAYS + """
 SELECT id AS user_id, string_agg(CASE WHEN month = 1 AND status = 'p' THEN 'p' ELSE 'm' END, '' ORDER BY pos) AS days FROM dense GROUP BY id""",
     "score_table": "WITH" + _scored(3) + " SELECT * FROM ranked",

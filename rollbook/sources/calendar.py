@@ -41,12 +41,6 @@ def year_start(date: Column) -> Column:
     return F.year(date) - F.when(F.month(date) < v.MONTHS[0], 1).otherwise(0)
 
 
-def within_years(date: Column, first: int, last: int) -> Column:
-    """Dates of the academic years that begin in `first` to `last`, as a range a scan can use."""
-    day = lambda year: F.lit(f"{year}-{v.MONTHS[0]:02d}-01").cast("timestamp_ntz")
-    return (date >= day(first)) & (date < day(last + 1))
-
-
 def year_name(start: Column) -> Column:
     """Name such as '2223' of the academic year that begins in `start`."""
     two = lambda year: F.lpad((year % 100).cast("string"), 2, "0")

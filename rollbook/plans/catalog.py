@@ -541,14 +541,12 @@ FIXED_TREES = [
 
 @query
 def tree_shap_fixed(spark, folder):
-    leaves = []
-    for nodes, weight in zip(FIXED_TREES, (1.0, 0.5)):
-        leaves += attribution.leaves_of(nodes, weight)[0]
+    trees = [attribution.tree_of(nodes, weight)[0] for nodes, weight in zip(FIXED_TREES, (1.0, 0.5))]
     rows = data.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"
     )
     inputs = {"quantity": F.col("l_quantity"), "discount": F.col("l_discount")}
-    explained = attribution.tree_shap(rows, leaves, inputs)
+    explained = attribution.tree_shap(rows, trees, inputs)
     return explained.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.round("shap.quantity", 9).alias("quantity"), F.round("shap.discount", 9).alias("discount"),

@@ -110,19 +110,51 @@ def shapley(nodes, x, m):
 def test_tree_attribution_equals_brute_force(spark):
     rng = random.Random(11)
     m = 4
-    trees = [random_tree(rng, 4, m) for _ in range(3)]
+    trees = [random_tree(rng, depth, m) for depth in (4, 6, 6)]
     weights = [1.0, 0.1, 0.3]
-    leaves, base = [], 0.0
-    for nodes, w in zip(trees, weights):
-        own, expected = attribution.leaves_of(nodes, w)
-        leaves, base = leaves + own, base + expected
+    made = [attribution.tree_of(nodes, w) for nodes, w in zip(trees, weights)]
+    base = sum(expected for _, expected in made)
     points = [[rng.random() for _ in range(m)] for _ in range(30)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "i int, inputs array<double>").repartition(3)
     names = [f"f{j}" for j in range(m)]
     inputs = {n: F.col("inputs")[j] for j, n in enumerate(names)}
-    for row in attribution.tree_shap(df, leaves, inputs).collect():
+    for row in attribution.tree_shap(df, [t for t, _ in made], inputs).collect():
         x = points[row.i]
         expected = np.sum([w * np.array(shapley(t, x, m)) for t, w in zip(trees, weights)], axis=0)
         assert np.allclose([row.shap[n] for n in names], expected, atol=1e-12)
         total = sum(w * expectation(t, x, set(range(m))) for t, w in zip(trees, weights))
         assert math.isclose(sum(row.shap) + base, total, abs_tol=1e-12)
+
+
+def test_deep_trees_are_small_and_add_up():
+    rng = random.Random(5)
+    m = 12
+    forest = [random_tree(rng, 10, m) for _ in range(5)]
+    columns = [np.array([rng.random() for _ in range(200)]) for _ in range(m)]
+    columns[3][:20] = math.nan  # goes right, as in the trees themselves
+    out = [np.zeros(200) for _ in range(m)]
+    base = 0.0
+    for nodes in forest:
+        tree, expected = attribution.tree_of(nodes, 1.0)
+        base += expected
+        assert tree.points <= 5 and all(len(x) == len(nodes) for x in (tree.left, tree.value, tree.share))
+        attribution.add_contributions(tree, columns, out)
+    for i in range(0, 200, 7):
+        x = [c[i] for c in columns]
+        total = sum(expectation(nodes, x, set(range(m))) for nodes in forest)
+        assert math.isclose(base + sum(o[i] for o in out), total, abs_tol=1e-9)
+
+
+def test_a_child_that_no_row_reached():
+    leaf = dict(left=-1, right=-1, feature=-1, threshold=None)
+    nodes = [
+        dict(id=0, prediction=0.0, cover=4.0, left=1, right=2, feature=0, threshold=0.5),
+        dict(id=1, prediction=1.0, cover=4.0, **leaf),
+        dict(id=2, prediction=0.0, cover=0.0, left=3, right=4, feature=1, threshold=0.5),
+        dict(id=3, prediction=5.0, cover=0.0, **leaf),
+        dict(id=4, prediction=7.0, cover=0.0, **leaf),
+    ]
+    tree, base = attribution.tree_of(nodes, 1.0)
+    out = [np.zeros(1), np.zeros(1)]
+    attribution.add_contributions(tree, [np.array([0.2]), np.array([0.2])], out)
+    assert base == 1.0 and [float(o[0]) for o in out] == [0.0, 0.0]

@@ -108,7 +108,7 @@ def test_inference_with_and_without_label(spark, run):
 
 def test_attributions_add_up_to_the_margin(spark, run):
     result, path, _ = run
-    _, base = attribution.model_leaves(result.model, f"{path}/model")
+    _, base = attribution.model_trees(result.model, f"{path}/model")
     val = result.frames["val"]
     shap = attribution.shap_values(result.model, val, f"{path}/model")
     total = sum((F.col("shap").getField(f) for f in result.model.features), F.lit(base))

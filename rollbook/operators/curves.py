@@ -1,9 +1,10 @@
 """Evaluation tables of a binary score.
 
-Everything starts from `score_table`: one row per distinct score with its counts and
+What needs an order starts from `score_table`: one row per distinct score with its counts and
 running counts from the highest score down. It is built once, from one pass over the
 scored rows that collapses equal scores before the shuffle, and is written to the
 checkpoint folder, so the many tables below do not read the scored rows again.
+Tables by bins and thresholds take it too, or the plain `score_rows`.
 """
 
 from __future__ import annotations
@@ -22,22 +23,9 @@ def score_table(df: DataFrame, score: str, label: str | None = None) -> DataFram
     """(score, n, pos, place, cum_n, cum_pos, total_n, total_pos) per distinct score.
 
     `place` numbers the scores from the highest down. Running counts include the row
-    itself and all higher scores. A null or NaN score and a label other than 0 or 1 are errors; without a label
-    all counts of positives are 0.
+    itself and all higher scores. For scores and labels see `score_rows`.
     """
-    given = F.col(score).cast("double")
-    empty = given.isNull() | F.isnan(given)
-    value = F.when(empty, F.raise_error(F.lit(f"{score} must be a number in every row"))).otherwise(given)
-    if label is None:
-        positive = F.lit(0)
-    else:
-        y = F.col(label).cast("int")
-        positive = F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.lit(f"{label} must be 0 or 1")))
-    counts = (
-        df.select(value.alias("score"), positive.alias("__y"))
-        .groupBy("score")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("pos"))
-    )
+    counts = score_rows(df, score, label).groupBy("score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     ranked = running_totals(
         counts.withColumn("__one", F.lit(1)),
         [F.col("score").desc()],
@@ -49,6 +37,23 @@ def score_table(df: DataFrame, score: str, label: str | None = None) -> DataFram
     )
 
 
+def score_rows(df: DataFrame, score: str, label: str | None = None) -> DataFrame:
+    """(score, n, pos) per row, as a plain table of counts: enough for bins, sweeps, confusion and error histograms.
+
+    These need no order, so one scan and a shuffle of one row per bin do. A null or NaN score and a label other
+    than 0 or 1 are errors; without a label all counts of positives are 0.
+    """
+    given = F.col(score).cast("double")
+    empty = given.isNull() | F.isnan(given)
+    value = F.when(empty, F.raise_error(F.lit(f"{score} must be a number in every row"))).otherwise(given)
+    if label is None:
+        positive = F.lit(0)
+    else:
+        y = F.col(label).cast("int")
+        positive = F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.lit(f"{label} must be 0 or 1")))
+    return df.select(value.alias("score"), F.lit(1).cast("bigint").alias("n"), positive.cast("bigint").alias("pos"))
+
+
 def _ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
     fallback = F.lit(empty).cast("double")
     return F.when(bottom > 0, top.cast("double") / bottom.cast("double")).otherwise(fallback)

@@ -81,8 +81,7 @@ def holidays(spark, folder):
 
 @query
 def metrics_long(spark, folder):
-    table = curves.score_table(data.scored_orders(spark, folder), "score", "label")
-    flat = curves.confusion(table, 0.5)
+    flat = curves.confusion(_counts(spark, folder), 0.5)
     return frames.metrics_long(flat, "orders")
 
 
@@ -357,6 +356,10 @@ def _table(spark, folder, digits=None):
     return curves.score_table(data.scored_orders(spark, folder, digits), "score", "label")
 
 
+def _counts(spark, folder, digits=None):
+    return curves.score_rows(data.scored_orders(spark, folder, digits), "score", "label")
+
+
 @query
 def score_table(spark, folder):
     return _table(spark, folder, 3)
@@ -414,17 +417,17 @@ def recall_at_k_model(spark, folder):
 
 @query
 def confusion(spark, folder):
-    return curves.confusion(_table(spark, folder), 0.4)
+    return curves.confusion(_counts(spark, folder), 0.4)
 
 
 @query
 def metrics_at(spark, folder):
-    return curves.metrics_at(_table(spark, folder), {"low": 0.1, "high": 0.9, "none": None, "beyond": 2.0})
+    return curves.metrics_at(_counts(spark, folder), {"low": 0.1, "high": 0.9, "none": None, "beyond": 2.0})
 
 
 @query
 def calibration_bins(spark, folder):
-    bins = curves.calibration_bins(_table(spark, folder, 2))
+    bins = curves.calibration_bins(_counts(spark, folder, 2))
     return bins.withColumns({c: F.round(c, 9) for c in ("mean_score", "positive_rate")})
 
 
@@ -444,23 +447,23 @@ def _rounded_edges(df):
 
 @query
 def error_hist(spark, folder):
-    return _rounded_edges(curves.error_histogram(_table(spark, folder), "label"))
+    return _rounded_edges(curves.error_histogram(_counts(spark, folder), "label"))
 
 
 @query
 def error_hist_signed(spark, folder):
-    return _rounded_edges(curves.error_histogram(_table(spark, folder), "label", signed=True))
+    return _rounded_edges(curves.error_histogram(_counts(spark, folder), "label", signed=True))
 
 
 @query
 def ppv_npv(spark, folder):
-    return curves.ppv_npv(_table(spark, folder))
+    return curves.ppv_npv(_counts(spark, folder))
 
 
 @query
 def flag_rate(spark, folder):
     unlabelled = data.scored_orders(spark, folder, 2).drop("label")
-    return curves.flag_rate(curves.score_table(unlabelled, "score"))
+    return curves.flag_rate(curves.score_rows(unlabelled, "score"))
 
 
 @query

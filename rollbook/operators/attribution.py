@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.operators.model import EwsModel
+from rollbook.operators.model import EwsModel, numeric_input
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,6 @@ def shap_values(model: EwsModel, df: DataFrame, path: str) -> DataFrame:
     encoded = model.classifier.means.transform(df)
     inputs = {
         **{c: F.col(f"`__mean_{c}`") for c in model.categorical},
-        **{c: F.col(f"`{c}`") for c in model.numerical},
+        **{c: numeric_input(c) for c in model.numerical},
     }
     return tree_shap(encoded, trees, inputs).select(*[F.col(f"`{c}`") for c in df.columns], "shap")

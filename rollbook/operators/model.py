@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook import vocabulary as v
@@ -28,6 +28,11 @@ from rollbook.operators.encoding import CategoryMeans, fit_category_means
 _WEIGHT = "__weight"
 _IS_VALIDATION = "__is_validation"
 _FEATURES = "__features"
+_NUMBER = "__number_"
+#: What missing numbers are to the trees.
+MISSING_NUMBER = -1e300
+#: Values of `balanced`, and the power of the class ratio that each uses.
+WEIGHTINGS = {True: 1.0, "Balanced": 1.0, "SqrtBalanced": 0.5}
 
 
 @dataclass
@@ -36,6 +41,7 @@ class Classifier:
 
     means: CategoryMeans
     stages: PipelineModel
+    balanced: bool | str | None = False
 
     @property
     def trees(self) -> GBTClassificationModel:
@@ -43,12 +49,13 @@ class Classifier:
 
     def inputs(self, df: DataFrame) -> DataFrame:
         """Add the vector the trees read."""
-        return self.stages.stages[0].transform(self.means.transform(df))
+        assembler = self.stages.stages[0]
+        numbers = [c.removeprefix(_NUMBER) for c in assembler.getInputCols() if c.startswith(_NUMBER)]
+        return assembler.transform(_with_numbers(self.means.transform(df), numbers))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the trees' output columns and the probability of class 1."""
-        scored = self.trees.transform(self.inputs(df))
-        return scored.withColumn(v.PROBA_1, vector_to_array("__probability")[1])
+        return _with_probability(self.trees.transform(self.inputs(df)))
 
 
 @dataclass
@@ -109,10 +116,12 @@ class EwsModel:
         return cls(classifier, IsotonicRegressionModel.load(f"{path}/calibrator"), **settings)
 
 
-def class_weights(df: DataFrame, label: str) -> dict[int, float]:
-    """Per class: rows of the largest class over rows of this class."""
+def class_weights(df: DataFrame, label: str, kind: bool | str = True) -> dict[int, float]:
+    """Per class: rows of the largest class over rows of this class, for "SqrtBalanced" the root of it."""
+    if kind not in WEIGHTINGS:
+        raise ValueError(f"class weights are one of {list(WEIGHTINGS)}, not {kind!r}")
     counts = sampling.class_counts(df, label)
-    return {c: max(counts.values()) / n for c, n in counts.items() if n}
+    return {c: (max(counts.values()) / n) ** WEIGHTINGS[kind] for c, n in counts.items() if n}
 
 
 def with_weights(df: DataFrame, label: str, weights: Mapping[int, float]) -> DataFrame:
@@ -121,39 +130,69 @@ def with_weights(df: DataFrame, label: str, weights: Mapping[int, float]) -> Dat
     return df.withColumn(_WEIGHT, weight.cast("double"))
 
 
-def fit_classifier(
-    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping
-) -> Classifier:
-    """Category means from the training rows only, then boosting with `val` as validation set.
+def numeric_input(name: str) -> Column:
+    """A number as the trees read it: missing values (null or NaN) lie below all others, in fitting and scoring alike."""
+    x = F.col(f"`{name}`").cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(MISSING_NUMBER)).otherwise(x)
 
-    `params` are those of `GBTClassifier`, and `smoothing` (rows) of the means and
-    `balanced` (class weights).
-    """
-    params = dict(params)
-    smoothing, balanced = params.pop("smoothing", 0.0), params.pop("balanced", False)
+
+def _with_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"{_NUMBER}{c}": numeric_input(c) for c in names})
+
+
+def _encode(
+    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], smoothing: float
+) -> tuple[CategoryMeans, VectorAssembler, DataFrame]:
+    """Category means of the training rows, the assembler, and rows (label, features, validation or not) of both."""
     means = fit_category_means(train, categorical, label, smoothing)
-    assembler = VectorAssembler(inputCols=[*[f"__mean_{c}" for c in categorical], *numerical], outputCol=_FEATURES)
+    assembler = VectorAssembler(
+        inputCols=[*[f"__mean_{c}" for c in categorical], *[f"{_NUMBER}{c}" for c in numerical]], outputCol=_FEATURES
+    )
     both = train.withColumn(_IS_VALIDATION, F.lit(False)).unionByName(
         val.withColumn(_IS_VALIDATION, F.lit(True))
     )
-    encoded = assembler.transform(means.transform(both))
+    encoded = assembler.transform(_with_numbers(means.transform(both), numerical))
+    return means, assembler, encoded.select(label, _FEATURES, _IS_VALIDATION)
+
+
+def _fit_trees(rows: DataFrame, label: str, params: Mapping, balanced: bool | str | None) -> GBTClassificationModel:
     tree = GBTClassifier(
         featuresCol=_FEATURES, labelCol=label, predictionCol="__prediction",
         validationIndicatorCol=_IS_VALIDATION, **params,
     )
     tree.setProbabilityCol("__probability").setRawPredictionCol("__margin")
-    kept = [label, _FEATURES, _IS_VALIDATION]
     if balanced:
-        encoded = with_weights(encoded, label, class_weights(train, label))
+        rows = with_weights(rows, label, class_weights(rows.filter(~F.col(_IS_VALIDATION)), label, balanced))
         tree.setWeightCol(_WEIGHT)
-        kept.append(_WEIGHT)
-    return Classifier(means, PipelineModel([assembler, tree.fit(encoded.select(*kept))]))
+    return tree.fit(rows)
+
+
+def _with_probability(scored: DataFrame) -> DataFrame:
+    return scored.withColumn(v.PROBA_1, vector_to_array("__probability")[1])
+
+
+def _split_params(params: Mapping) -> tuple[dict, float, bool | str | None]:
+    params = dict(params)
+    return params, params.pop("smoothing", 0.0), params.pop("balanced", False)
+
+
+def fit_classifier(
+    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping
+) -> Classifier:
+    """Category means from the training rows only, then boosting with `val` as validation set.
+
+    `params` are those of `GBTClassifier`, and `smoothing` (rows) of the means and
+    `balanced` (class weights, a key of `WEIGHTINGS`). Missing numbers count as lower than all others.
+    """
+    params, smoothing, balanced = _split_params(params)
+    means, assembler, rows = _encode(train, val, label, categorical, numerical, smoothing)
+    return Classifier(means, PipelineModel([assembler, _fit_trees(rows, label, params, balanced)]), balanced)
 
 
 def loss_table(model: Classifier, train: DataFrame, val: DataFrame, label: str) -> DataFrame:
     """(iteration, trn, val): Spark's log loss 2*log(1+exp(-2yF)) after each tree, weighted as the fit was."""
     tree = model.trees
-    weights = class_weights(train, label) if tree.isDefined(tree.weightCol) else {}
+    weights = class_weights(train, label, model.balanced or True) if tree.isDefined(tree.weightCol) else {}
     losses = [tree.evaluateEachIteration(with_weights(model.inputs(d), label, weights)) for d in (train, val)]
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses))]
     return train.sparkSession.createDataFrame(rows, "iteration int, trn double, val double")
@@ -202,13 +241,18 @@ def random_search(
 ) -> tuple[dict, DataFrame]:
     """Seeded random search for the largest trapezoid area under the precision-recall curve on `val`.
 
-    Returns the best parameters (fixed ones included) and the log (trial, params, score).
+    Returns the best parameters (fixed ones included) and the log (trial, params, score). Rows are encoded and
+    written once for each value of `smoothing`, not in each trial.
     """
     rng = random.Random(seed)
-    trials = []
+    trials, encoded = [], {}
     for trial in range(n_trials):
         params = draw_params(rng, fixed, tune)
-        scored = fit_classifier(train, val, label, categorical, numerical, params).transform(val)
+        own, smoothing, balanced = _split_params(params)
+        if smoothing not in encoded:
+            encoded[smoothing] = cut_lineage(_encode(train, val, label, categorical, numerical, smoothing)[2])
+        rows = encoded[smoothing]
+        scored = _with_probability(_fit_trees(rows, label, own, balanced).transform(rows.filter(_IS_VALIDATION)))
         area = curves.auc_pr(curves.score_table(scored, v.PROBA_1, label)).first()[0]
         trials.append((trial, params, area))
     best = max(trials, key=lambda t: t[2])[1]

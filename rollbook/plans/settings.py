@@ -25,11 +25,23 @@ PARAM_NAMES = {
 SETTLED = {"loss_function", "task_type", "devices"}
 
 
+def _weighting(value):
+    """Full balancing is True and none is False, so that fixed, drawn and triggering values are the same."""
+    return {"Balanced": True, "None": False, None: False}.get(value, value)
+
+
+def _values(name: str, rule: Mapping, key: str) -> dict:
+    """A tuning rule whose list of class weights under `key` is written as everywhere else."""
+    if name != "auto_class_weights" or key not in rule:
+        return dict(rule)
+    return {**rule, key: [_weighting(x) for x in rule[key]]}
+
+
 def _params(given: Mapping) -> dict:
     kept = {}
     for name, value in given.items():
         if name in PARAM_NAMES:
-            kept[PARAM_NAMES[name]] = value == "Balanced" if name == "auto_class_weights" else value
+            kept[PARAM_NAMES[name]] = _weighting(value) if name == "auto_class_weights" else value
         elif name not in SETTLED:
             warnings.warn(f"model parameter without a counterpart is ignored: {name}", stacklevel=3)
     return kept
@@ -38,12 +50,18 @@ def _params(given: Mapping) -> dict:
 def _tune(given: Mapping | None) -> dict | None:
     if not given:
         return None
-    known = {PARAM_NAMES[n]: rule for n, rule in given.get("independent", {}).items() if _params({n: None})}
+    def space(name: str, rule: Mapping) -> dict:
+        return {**rule, "tuning_space": _values(name, rule["tuning_space"], "choices")}
+
+    known = {PARAM_NAMES[n]: space(n, rule) for n, rule in given.get("independent", {}).items() if _params({n: None})}
     dependent = {}
     for name, rule in given.get("dependent", {}).items():
-        parent = PARAM_NAMES.get(rule["dependent_on_param"])
-        if _params({name: None}) and parent:
-            dependent[PARAM_NAMES[name]] = {**rule, "dependent_on_param": parent}
+        parent = rule["dependent_on_param"]
+        if parent not in PARAM_NAMES:
+            warnings.warn(f"{name} depends on a parameter without a counterpart and is ignored: {parent}", stacklevel=3)
+        elif _params({name: None}):
+            own = space(name, _values(parent, rule, "dependent_on_value"))
+            dependent[PARAM_NAMES[name]] = {**own, "dependent_on_param": PARAM_NAMES[parent]}
     return {"independent": known, "dependent": dependent}
 
 

@@ -197,3 +197,14 @@ def test_loss_is_the_documented_one(spark, run):
     each = 2 * F.log1p(F.exp(-2 * (2 * F.col("target") - 1) * margin))
     mean = scored.agg(F.sum(each * F.col("__weight")) / F.sum("__weight")).first()[0]
     assert abs(mean - last.trn) < 1e-9
+
+
+def test_missing_numbers_are_lowest_in_fit_and_score(spark):
+    rows = [(i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else float(i), None, int(i % 3 != 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, x double, empty double, y int")
+    fitted = model.fit_classifier(df, df, "y", [], ["x", "empty"], {"maxIter": 2, "maxDepth": 1, "balanced": "SqrtBalanced"})
+    low = {r.y: r[1] for r in fitted.transform(df).groupBy("y").agg({"preds_proba_1": "min"}).collect()}
+    assert low[1] > 0.5 > low[0]
+    assert model.class_weights(df, "y", "SqrtBalanced") == {0: pytest.approx(2**0.5), 1: 1.0}
+    with pytest.raises(ValueError, match="class weights"):
+        model.class_weights(df, "y", "Sqrt")

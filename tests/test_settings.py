@@ -47,3 +47,24 @@ def test_bad_settings_are_errors():
     bad = {**CONFIG, "data": {**CONFIG["data"], "engineer_features": {"typo": 1}}}
     with pytest.raises(ValueError, match="typo"):
         from_config(bad, {}, {}, "2223", "ord")
+
+
+def _with_tuning(independent, dependent):
+    params = {"fixed": {"auto_class_weights": "SqrtBalanced"}, "tune": {"independent": independent, "dependent": dependent}}
+    return {**CONFIG, "model": {**CONFIG["model"], "params": params}}
+
+
+def test_class_weights_read_the_same_everywhere():
+    weights = {"auto_class_weights": {"dtype": "categorical", "tuning_space": {"choices": ["Balanced", "SqrtBalanced", "None"]}}}
+    rule = {"dependent_on_param": "auto_class_weights", "dependent_on_value": ["Balanced"], "dtype": "int", "tuning_space": {"low": 2, "high": 4}}
+    _, fit = from_config(_with_tuning(weights, {"depth": rule}), {}, {}, "2223", "ord")
+    assert fit.params == {"balanced": "SqrtBalanced"}
+    assert fit.tune["independent"]["balanced"]["tuning_space"]["choices"] == [True, "SqrtBalanced", False]
+    assert fit.tune["dependent"]["maxDepth"]["dependent_on_value"] == [True]
+
+
+def test_a_rule_on_an_unknown_parameter_is_told():
+    rule = {"dependent_on_param": "rsm", "dependent_on_value": [1], "dtype": "int", "tuning_space": {"low": 2, "high": 4}}
+    with pytest.warns(UserWarning, match="depends on"):
+        _, fit = from_config(_with_tuning({}, {"depth": rule}), {}, {}, "2223", "ord")
+    assert fit.tune["dependent"] == {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.ordering import use_checkpoint_dir
 
-from . import decontaminate, licenses, lm, mixing, neardup, pii, quality, resample, rollups, substrings
+from . import captures, decontaminate, licenses, lm, manifest, mixing, neardup, pii, quality, resample, rollups, substrings, whitening
 from .common import cut_lineage, documents
 
 
@@ -64,8 +64,27 @@ def op10_rollups(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokeni
     return rollup.totals()
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to an archive, looked up through its index and read back; the archive goes when the result is written."""
+    path = f"{use_checkpoint_dir(spark)}/archive-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    try:
+        return captures.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), captures.Archive(path))
+    finally:
+        captures.remove(spark, path)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return manifest.manifest(docs, manifest.tampered_fifth(docs["doc_id"]))
+
+
 _ALL = (
     op1_decontaminate, op2_mix, op3_substrings, op4_lattice, op5_licenses, op6_personal_data, op7_quality, op8_near_duplicates, op9_resample, op10_rollups,
+    op11_whiten, op12_captures, op13_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op2_mix": mixing.MIX_SQL}
+SQL = {"op2_mix": mixing.MIX_SQL, "op12_captures": captures.CAPTURES_SQL, "op13_manifest": manifest.MANIFEST_SQL}

@@ -32,25 +32,49 @@ def secular_roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
     """Roots of 1 + sum(weights / (poles - x)) = 0, one above each of the ascending poles.
 
     Returns for each root its nearest pole's number and its distance from that pole, which is exact to the last places
-    where the root itself would not be. Halving inside the interval between two poles; all roots at once.
+    where the root itself would not be. All roots are sought at once: the poles up to a root and those beyond it are each
+    replaced by one pole with the same value and slope, whose equation is quadratic; where its root leaves the interval
+    known to hold the root, that interval is halved.
     """
     k = len(poles)
+    own = np.arange(k)
     following = np.append(poles[1:], poles[-1] + weights.sum())
     middle = 0.5 * (following - poles)
     # The sign at the middle of the interval tells which of its ends is nearer.
     at_middle = 1 + (weights[None, :] / ((poles[None, :] - poles[:, None]) - middle[:, None])).sum(1)
     left = at_middle >= 0
     left[-1] = True
-    near = np.where(left, np.arange(k), np.minimum(np.arange(k) + 1, k - 1))
+    near = np.where(left, own, np.minimum(own + 1, k - 1))
     gap = poles[None, :] - poles[near][:, None]
+    below, above = np.tril(np.ones((k, k))), np.triu(np.ones((k, k)), 1)
+    last = own == k - 1
     low = np.where(left, 0.0, -middle)
-    high = np.where(left, np.where(np.arange(k) == k - 1, following - poles, middle), 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for _ in range(60):
-            x = 0.5 * (low + high)
-            f = 1 + (weights[None, :] / (gap - x[:, None])).sum(1)
+    high = np.where(left, np.where(last, following - poles, middle), 0.0)
+    one, two = np.where(left, 0.0, poles - following), np.where(left, following - poles, 0.0)
+    x, done = 0.5 * (low + high), np.zeros(k, bool)
+    with np.errstate(all="ignore"):
+        for _ in range(80):
+            part = 1 / (gap - x[:, None])
+            term = weights[None, :] * part
+            slope = term * part
+            psi, phi, psi_slope, phi_slope = (term * below).sum(1), (term * above).sum(1), (slope * below).sum(1), (slope * above).sum(1)
+            f = 1 + psi + phi
             low, high = np.where(f < 0, x, low), np.where(f < 0, high, x)
-    return near, 0.5 * (low + high)
+            q, s = psi_slope * (one - x) ** 2, np.where(last, 0.0, phi_slope * (two - x) ** 2)
+            c = 1 + psi - psi_slope * (one - x) + np.where(last, 0.0, phi - phi_slope * (two - x))
+            # c (one - t) (two - t) + q (two - t) + s (one - t) = 0; without poles beyond, c (one - t) + q = 0.
+            b, e = c * (one + two) + q + s, c * one * two + q * two + s * one
+            root = np.sqrt(np.maximum(b * b - 4 * c * e, 0.0))
+            large = 0.5 * np.where(b >= 0, b + root, b - root)
+            inside = lambda t: (t > low) & (t < high)
+            first, second = np.where(last, one + q / c, large / c), e / large
+            # Near the end rounding may put the guess just outside; as close as that the root is found.
+            done |= np.minimum(np.abs(first - x), np.where(last, np.inf, np.abs(second - x))) <= 1e-13 * np.abs(x)
+            guess = np.where(inside(first), first, np.where(~last & inside(second), second, 0.5 * (low + high)))
+            x = np.where(done, x, guess)
+            if done.all():
+                break
+    return near, x
 
 
 def rank_one(values: np.ndarray, vectors: np.ndarray, v: np.ndarray, deflation: float) -> tuple[np.ndarray, np.ndarray]:

@@ -292,9 +292,10 @@ def read(wanted: DataFrame, parts: Sequence[dict], archive: Archive, kind: str =
         for f in files.values():
             f.close()
 
-    keyed = _keys(wanted)
     order = [F.col("key"), F.col("page_id")]
-    rows = keyed.distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    # Few bytes here stand for much reading, so the number of ranges is not left to their size.
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _keys(wanted).distinct().repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
         run, "page_id string, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to string"
     )
     return rows.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))

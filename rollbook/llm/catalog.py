@@ -47,7 +47,7 @@ def op9_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def op10_rollups(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
+def op10_rollups(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
     """Totals after five batches over all documents: counted by words, then by a tokenizer; short ones taken out of both;
     word counts revised to have an end mark each; and the second batch committed once more, without effect."""
     counts = cut_lineage(rollups.count_tokens(documents(spark, sf_dir), tokenizer))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -14,14 +16,31 @@ from .common import chunks, n_words
 KEYS = ("source", "lang", "tokenizer")
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def counter(path: str, pieces: str = PIECES) -> Callable[[str], int]:
+    """A function from a text to its number of tokens, by a file of ranks (`.tiktoken`, cut by `pieces`) or a whole
+    tokenizer (`.json`). Names of special tokens in a text are ordinary text."""
+    if path.endswith(".tiktoken"):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(encoding.encode_ordinary(text))
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, lang, words, tokens of each row, tokens by the tokenizer file at `path`; null texts have none of either."""
+    """doc_id, source, lang, words, tokens of each row, tokens by the tokenizer file at `path`, which every executor can
+    read; null and empty texts have none of either. Texts are encoded one at a time, so a very long one needs memory for
+    itself only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        for part in chunks(batches, 64):
-            texts = [t or "" for t in part.column(4).to_pylist()]
-            sizes = [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = counter(path)
+        for part in chunks(batches):
+            sizes = [count(t.as_py() or "") for t in part.column(4)]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sizes, pa.int64())], ["doc_id", "source", "lang", "words", "tokens"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "lang"))
@@ -77,7 +96,7 @@ class Rollup:
             return False
         rows = changes() if callable(changes) else changes
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batch={int(batch)}")
+        sums.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batch={int(batch)}")
         return True
 
     def totals(self, upto: int | None = None) -> DataFrame:

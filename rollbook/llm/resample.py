@@ -22,6 +22,7 @@ class Resampling:
     smoothing: float = 1.0
     length: float = 200.0  # n-grams that a text's mean log ratio is taken to stand for
     cut_bits: int = 12
+    target_rows: int = 100_000  # good labels that the target model is fitted on at most, about
     seed: str = "resample"
 
 
@@ -58,10 +59,20 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarr
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
+def good_ids(labels: DataFrame, most: int) -> DataFrame:
+    """Ids labelled good (quality 1 and not toxic): all of them, or a hashed sample of about nine tenths of `most`."""
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    found = good.count()
+    if found <= most:
+        return good
+    return good.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2**40)) < int(2**40 * 0.9 * most / found))
+
+
 def resample(docs: DataFrame, labels: DataFrame, setting: Resampling = Resampling()) -> DataFrame:
     """doc_id, log_weight, key, kept of each row: the `share` of rows with the largest keys is kept, to the row.
 
-    The target model counts the rows labelled good (quality 1 and not toxic), the raw model all rows. A row's weight is
+    The target model counts the rows labelled good (quality 1 and not toxic), about `target_rows` of them at most, the raw
+    model all rows. A row's weight is
     its mean log ratio times `length`, so long texts do not win by length; the key adds Gumbel noise from a hash of id
     and text, which makes the top rows a sample without replacement by weight. Reruns agree.
 
@@ -69,7 +80,8 @@ def resample(docs: DataFrame, labels: DataFrame, setting: Resampling = Resamplin
     the number kept may pass the share. Rows without id carry no label. Without any good label all weights are 0. An empty
     table gives an empty result; extra columns are ignored.
     """
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
+    # At most `target_rows` ids go to every task, so texts are read where they are and none is moved.
+    good = F.broadcast(good_ids(labels, setting.target_rows))
     target = _counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), setting.buckets)
     raw = _counts(docs, setting.buckets)
     ratio = log_ratio(target, raw, setting.smoothing) if target.any() else np.zeros(setting.buckets)

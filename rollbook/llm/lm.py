@@ -24,6 +24,7 @@ class Setting:
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
     rounds: int = 2  # of re-estimating piece probabilities
     head: int = 262_144  # most frequent words, whose values every task keeps in memory; the rest is joined
+    head_bytes: int = 32  # longer words are joined whatever their frequency, so the head has a size in bytes
 
 
 def read_pieces(path: str) -> list[str]:
@@ -115,14 +116,17 @@ class Lattice:
             out.append(self._forward()[self.end])
         return np.concatenate(out)
 
-    def expected(self, words: list[str], counts: np.ndarray) -> None:
-        """Adds the expected number of each piece in these words."""
+    def expected(self, words: list[str], uses: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected number of each piece in these words, each word counting `uses` times."""
+        done = 0
         for part in _portions(words):
             self._lay_out(part)
+            own = np.repeat(uses[done : done + len(part)], self.end - self.first + 1)
+            done += len(part)
             alpha = self._forward()
             beta = self._sums(self.stop, self.start, -self.place[self.start], self.end)
             whole = np.repeat(alpha[self.end], self.end - self.first + 1)[self.start]
-            share = np.exp(alpha[self.start] + self.weight + beta[self.stop] - whole)
+            share = own[self.start] * np.exp(alpha[self.start] + self.weight + beta[self.stop] - whole)
             found = np.bincount(self.kind, share, len(self.logs) + len(self.char_ids))
             counts += found[: len(self.logs)]
             for ids, n in zip(self.char_ids, found[len(self.logs) :]):
@@ -172,10 +176,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_pieces(counts: DataFrame, setting: Setting) -> tuple[list[str], np.ndarray]:
-    """Pieces and their log probabilities, from the distinct words of the training rows.
+    """Pieces and their log probabilities, from the words of the training rows.
 
-    The pieces stay those of the vocabulary; their probabilities start from its order (the n-th gets a share of 1 / n)
-    and are re-estimated from all segmentations of all distinct training words. A round sends one row a piece and task.
+    The pieces stay those of the vocabulary; a merge vocabulary's scores are only the order of its merges, so
+    probabilities start from that order (the n-th piece gets a share of 1 / n) and are re-estimated from all
+    segmentations of all training words, each distinct one worked out once and counted as often as it occurs. A round
+    sends one row a piece and task.
     """
     pieces = read_pieces(setting.vocabulary)
     logs = -np.log(np.arange(1, len(pieces) + 1) + 10.0)
@@ -187,11 +193,11 @@ def fit_pieces(counts: DataFrame, setting: Setting) -> tuple[list[str], np.ndarr
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, found = Lattice(*shared.value), np.zeros(len(shared.value[0]))
             for part in chunks(batches, 4096):
-                lattice.expected(part.column(0).to_pylist(), found)
+                lattice.expected(part.column(0).to_pylist(), part.column(1).to_numpy().astype(np.float64), found)
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["piece", "n"])
 
-        rows = counts.filter("c > 0").select("word").mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n")).collect()
+        rows = counts.filter("c > 0").select("word", "c").mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n")).collect()
         found = np.full(len(pieces), 0.01)
         for piece, n in rows:
             found[piece] += n
@@ -199,13 +205,37 @@ def fit_pieces(counts: DataFrame, setting: Setting) -> tuple[list[str], np.ndarr
     return pieces, logs
 
 
+def _head(valued: DataFrame, setting: Setting, floor: float) -> tuple:
+    """The head's words and, for each, whether it is known, its base score and its log10 probability.
+
+    Words of at most `head_bytes` bytes from some number of uses on: the least that leaves `head` words at most. That
+    number is read off a table of at most some thousand rows, and the words come as Arrow columns, never as rows.
+    """
+    short = valued.filter(F.octet_length("word") <= setting.head_bytes)
+    # Exact up to 1000 uses; beyond, in steps of a sixteenth.
+    log = F.floor(16 * F.log2("uses"))
+    step = F.when(F.col("uses") <= 1000, F.col("uses")).otherwise(F.lit(1000) + log - int(16 * math.log2(1000)))
+    sizes = short.groupBy(step.cast("long").alias("step")).agg(F.count("*").alias("n"), F.min("uses").alias("least")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > setting.head:
+            break
+        least = r["least"]
+    chosen = short.filter(F.col("uses") >= least) if least is not None else short.limit(0)
+    rows = chosen.select(F.encode("word", "UTF-8").alias("word"), "c", "logp").toArrow()
+    c = rows.column("c").to_numpy()
+    return rows.column("word").combine_chunks(), (c > 0).astype(np.int64), np.log10((c + 0.1) / floor), rows.column("logp").to_numpy().astype(np.float64)
+
+
 def score(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; scores are log10.
 
     `score` is the probability of the words and the end, each word's summed over all paths through its lattice: a
     training word is an arc of its own, with its count less a discount over all tokens, and the discounts' sum goes to
-    the segmentations into pieces of the vocabulary. Each distinct word's sum is worked out once. The values of the `head` most frequent words go to
-    every task (a fixed number of them); words beyond are joined by word, partial sums first.
+    the segmentations into pieces of the vocabulary. Each distinct word's sum is worked out once. The values of the `head`
+    most frequent words go to every task, a fixed number of them and of bytes in each; words beyond are joined by word,
+    partial sums first.
 
     Null texts are empty: one token, the end. Rows without id count as training rows. Repeated rows count and return
     each; an empty table gives an empty result; extra columns are ignored. Very long words cost time and memory in proportion.
@@ -232,14 +262,14 @@ def score(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logp, pa.float64())], ["word", "c", "uses", "logp"])
 
     valued = cut_lineage(counts.mapInArrow(values, "word string, c bigint, uses bigint, logp double"))
-    top = valued.orderBy(F.col("uses").desc(), "word").limit(setting.head).collect()
-    known = {r["word"].encode(): i for i, r in enumerate(top)}
-    base = np.log10((np.array([r["c"] for r in top], np.float64) + 0.1) / floor)
-    table = docs.sparkSession.sparkContext.broadcast((known, np.array([r["c"] > 0 for r in top], np.int64), base, np.array([r["logp"] for r in top], np.float64)))
-    del top
+    table = docs.sparkSession.sparkContext.broadcast(_head(valued, setting, floor))
+    head: list[tuple] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, base, logp = table.value
+        if not head:  # once a worker
+            words, *values = table.value
+            head.append(({w.as_py(): i for i, w in enumerate(words)}, *values))
+        known, seen, base, logp = head[0]
         for part in chunks(batches):
             rows, rare = [], []
             for text in part.column(1):

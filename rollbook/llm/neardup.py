@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut_lineage
+from .common import chunks, cut_lineage, fresh
 
 #: Fingerprints in a tile at most, about; two tiles and their comparison take few MB.
 TILE = 16_384
@@ -135,29 +135,48 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _roots(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, root) of all fingerprints: `root` names the group that links of at most `radius` bits reach."""
+    distinct = cut_lineage(prints.select("fp").distinct())
+    roots = components(links(distinct, radius, tile))
+    return cut_lineage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of at most `radius` bits) of each row.
 
     Null and empty texts have fingerprint zero, which links like any other. Repeated rows all return; rows without id
     too, with the smallest id of their group, null if there is none. An empty table gives an empty result; extra columns
-    are ignored. Copies share a fingerprint and meet only in counts and minima, however many there are.
+    are ignored. A very long text is hashed in one task, in parts. Copies share a fingerprint and meet only in counts
+    and minima, however many there are.
     """
     prints = cut_lineage(fingerprints(docs, shingle))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, radius, tile))
-    grouped = cut_lineage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    grouped = _roots(prints, radius, tile)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = grouped.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(ids, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each group, that with the smallest id, all columns as they are; of rows with the same id one stays.
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """One row of each group, all columns as they are: the one with the least (doc_id, hash of its text), without id last.
 
-    Rows without id cannot be told apart by a group's id; they stay.
+    Rows that share an id but not a text are documents of their own: each belongs to the group of its text. Of rows equal
+    in id and text one stays. Null and empty texts are one group. The choice is made on ids and hashes; whole rows are
+    moved once, copies having met before that. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, shingle, radius)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionAll(docs.filter(docs["doc_id"].isNull()))
+    names = {c: fresh(docs, f"__{c}") for c in ("id", "none", "text")}
+    of_type = docs.schema["doc_id"].dataType
+    keys = {
+        names["none"]: docs["doc_id"].isNull(), names["id"]: F.coalesce(docs["doc_id"], F.lit("" if of_type.simpleString() == "string" else 0).cast(of_type)),
+        names["text"]: F.xxhash64("text"),
+    }
+    order = list(keys)
+    keyed = docs.withColumns(keys)
+    row = F.struct(*[F.col(c).alias(k) for c, k in zip(order, ("none", "id", "text"))])
+    prints = cut_lineage(fingerprints(keyed.select(row.alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "row"))
+    least = prints.groupBy("fp").agg(F.min("row").alias("row"))
+    first = _roots(prints, radius, tile).join(least, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    chosen = cut_lineage(first.select(*[F.col(f"row.{k}").alias(c) for c, k in zip(order, ("none", "id", "text"))]))
+    return keyed.dropDuplicates(order).join(chosen, order, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

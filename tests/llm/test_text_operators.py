@@ -186,6 +186,61 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(math.exp(lm.Lattice(pieces, logs).log_probability("ab")), 0.1 * 0.2 * 0.3 + 0.1 * 0.2 + 0.1 * 0.3 + 0.1, rel_tol=1e-6)
 
 
+def test_lattice_score_against_all_segmentations(spark, tmp_path):
+    """The whole score, segmentations counted one by one: refit by token counts, discounts, the end."""
+    setting = lm.Setting(rounds=1)
+    rows = [(i, "ab abc ab x%d" % (i % 4)) for i in range(40)] + [(50, None), (None, "ab"), (51, "abcab cab"), (52, ""), (53, "long" * 30)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), setting).collect()
+    pieces = lm.read_pieces(setting.vocabulary)
+    number = {p: i for i, p in enumerate(pieces)}
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in train for w in (t or "").split())
+    start = -np.log(np.arange(1, len(pieces) + 1) + 10.0)
+    start -= np.log(np.exp(start).sum())
+
+    def ways(text, logs):
+        """All segmentations of a marked word: lists of pieces and bytes."""
+        if not text:
+            return [((), 0.0)]
+        found = [((number[text[:k]],), logs[number[text[:k]]], text[k:]) for k in range(1, len(text) + 1) if text[:k] in number and not (text[:k].startswith("<0x") and k == 6)]
+        own = [number[f"<0x{b:02X}>"] for b in text[0].encode()]
+        found.append((tuple(own), sum(logs[i] for i in own), text[1:]))
+        return [(p + q, a + b) for p, a, rest in found for q, b in ways(rest, logs)]
+
+    fresh = np.full(len(pieces), 0.01)
+    for w, c in count.items():
+        if len(w) > 20:
+            lattice = lm.Lattice(pieces, start)
+            lattice.expected([w], np.array([float(c)]), fresh)
+            continue
+        paths = ways("\u2581" + w, start)
+        whole = sum(math.exp(a) for _, a in paths)
+        for used, a in paths:
+            for i in used:
+                fresh[i] += c * math.exp(a) / whole
+    logs = np.log(fresh / fresh.sum())
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    for r, text in ((r, dict(rows)[r.doc_id]) for r in got):
+        want = math.log10((len(train) - discount) / n)
+        for w in (text or "").split():
+            sums = lm.Lattice(pieces, logs).log_probability(w) if len(w) > 20 else math.log(sum(math.exp(a) for _, a in ways("\u2581" + w, logs)))
+            want += math.log10(math.exp(sums) * discount * v / n + max(count[w] - discount, 0) / n)
+        assert math.isclose(r.score, want, rel_tol=1e-6), (text, r.score, want)
+
+
+def test_good_ids_are_bounded(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert resample.good_ids(labels, 5000).count() == 5000 and 700 < resample.good_ids(labels, 1000).count() <= 1000
+
+
+def test_token_counts_by_ranks_and_by_a_tokenizer_agree():
+    texts = ["", "Hello  world\n\n's", "ÄÖ <|endoftext|> 123", "a" * 5000, "x y " * 3000]
+    ranks, whole = (rollups.counter(f"/opt/tokenizers/byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    assert [ranks(t) for t in texts] == [whole(t) for t in texts]
+
+
 def test_resampling(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = resample.resample(docs, labels)
@@ -232,12 +287,15 @@ def test_many_words_are_summed_as_one_is():
     lattice = lm.Lattice(pieces, logs)
     many, counts, one_by_one = lattice.log_probabilities(words), np.zeros(8), np.zeros(8)
     assert np.allclose(many, [lattice.log_probability(w) for w in words], rtol=1e-12)
-    lattice.expected(words, counts)
-    for w in words:
-        lattice.expected([w], one_by_one)
+    uses = np.arange(1.0, len(words) + 1)
+    lattice.expected(words, uses, counts)
+    for w, n in zip(words, uses):
+        for _ in range(int(n) % 3):
+            lattice.expected([w], np.ones(1), one_by_one)
+        lattice.expected([w], np.array([n - int(n) % 3]), one_by_one)
     assert np.allclose(counts, one_by_one, rtol=1e-9)
     counts[:] = 0
-    lattice.expected(["a"], counts)
+    lattice.expected(["a"], np.ones(1), counts)
     # Paths: mark and a, mark and byte 61, and both in one piece; the mark's own bytes are not all pieces.
     assert math.isclose(counts[4] + counts[1] + counts[5], 1.0, rel_tol=1e-9) and counts[2] == 0
 
@@ -248,3 +306,15 @@ def test_copies_null_ids_and_shared_ids_in_substring_dedup(spark):
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     fixed = [(5, 60, 60), (None, 60, 0), (7, 85, 60), (8, 25, 25), (8, 26, 25), (9, 2, 0), (10, 2, 0), (11, 60, 60), (12, 0, 0), (13, 0, 0)]
     assert got == collections.Counter(fixed)
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(50)) for w in ("red", "blue"))
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, one), (None, one), (None, "alone here"), (None, "alone here"), (4, None), (5, ""), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("__id", "fp", "row", "root", "__text", "none")})
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (1, two), (None, "alone here"), (1, "")], key=str)
+    strings = neardup.keep_one(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert strings.count() == 4
+    assert neardup.keep_one(df.limit(0)).count() == 0

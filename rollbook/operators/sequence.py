@@ -12,6 +12,8 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,19 +140,24 @@ def calendar_position(month: int, day: int) -> int:
     return (month + 6) % 12 * calendar.MONTH_DAYS + day - 1
 
 
-def missing_shares(sequences: DataFrame, days: str = "days") -> DataFrame:
-    """(pos, month, day, missing_share) for every date of the year, over all given rows.
+def missing_shares(sequences: DataFrame, days: str = "days", by: Sequence[str] = ()) -> DataFrame:
+    """(by.., pos, month, day, missing_share) for every date of the year, over all given rows or those of each `by`.
 
-    Places that are no date, such as 31 June, are left out unless a row has a mark there.
+    Places that are no date, such as 31 June, are left out unless a row has a mark there. Marks are counted as one
+    vector of 372 places, so a task hands on one row for each `by`, and only these rows become rows by place.
     """
-    per_day = (
-        sequences.select(F.posexplode(F.split(days, "")).alias("pos", "status"))
-        .groupBy("pos")
-        .agg(F.avg(F.when(F.col("status") == v.MISSING, 1.0).otherwise(0.0)).alias("missing_share"))
+    marked = F.transform(F.split(days, ""), lambda status: F.when(status == v.MISSING, 0.0).otherwise(1.0))
+    keys = [F.col(f"`{c}`") for c in by]
+    places = sequences.select(*keys, array_to_vector(F.slice(marked, 1, calendar.YEAR_POSITIONS)).alias("__marked"))
+    counted = places.groupBy(*by).agg(
+        vector_to_array(Summarizer.numNonZeros(F.col("__marked"))).alias("__n"), F.count(F.lit(1)).alias("__rows")
+    ).filter(F.col("__rows") > 0)
+    per_day = counted.select(*keys, "__rows", F.posexplode("__n").alias("pos", "__n")).select(
+        *keys, "pos", ((F.col("__rows") - F.col("__n")) / F.col("__rows")).alias("missing_share")
     )
     month = (F.floor(F.col("pos") / calendar.MONTH_DAYS).cast("int") + 5) % 12 + 1
     return per_day.filter(F.col("pos").isin(calendar.real_positions()) | (F.col("missing_share") < 1)).select(
-        "pos", month.alias("month"), (F.col("pos") % calendar.MONTH_DAYS + 1).alias("day"), "missing_share"
+        *keys, "pos", month.alias("month"), (F.col("pos") % calendar.MONTH_DAYS + 1).alias("day"), "missing_share"
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage, use_checkpoint_dir
 from rollbook.operators import (
-    attribution, calibration, cleaning, curves, explanation, model, sampling, sequence, thresholds,
+    attribution, calibration, cleaning, curves, explanation, model, sampling, sequence, thresholds, yearly,
 )
 from rollbook.plans import catalog_data as data
 from rollbook.plans.explaining import explain
@@ -308,9 +308,21 @@ def seq_pattern_overlap(spark, folder):
     )
 
 
+@query
+def missing_shares_by_year(spark, folder):
+    return yearly.missing_shares(data.order_sequences(spark, folder), "year")
+
+
+@query
+def valid_days_by_year(spark, folder):
+    return yearly.valid_days(data.order_sequences(spark, folder), "year", data.order_holidays(spark, folder), 0.995)
+
+
 def _order_groups(spark, folder, **settings):
-    return sequence.features_from_long(
-        data.order_marks(spark, folder), data.ENROLMENT, config=sequence.SequenceConfig(**settings)
+    """Every academic year by its own valid days and holidays."""
+    return yearly.features_from_long(
+        data.order_marks(spark, folder), data.ENROLMENT, "year", data.order_holidays(spark, folder),
+        sequence.SequenceConfig(**settings),
     )
 
 
@@ -563,8 +575,8 @@ _PARAMS = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "balanced": True}
 
 def _customer_features(spark, folder):
     rows = cut_lineage(data.unified_customers(spark, folder))
-    positions = sequence.positions_of(sequence.valid_days(rows))
-    features = sequence.attendance_features(rows, positions).select(_student().alias("studentid"), "*").drop(*data.ENROLMENT)
+    valid = yearly.valid_days(rows, "year", data.order_holidays(spark, folder))
+    features = yearly.attendance_features(rows, valid, "year").select(_student().alias("studentid"), "*").drop(*data.ENROLMENT)
     scores = ["urgent_score", "low_score"]
     clean = cleaning.fill_exam_scores(cleaning.fill_strings(features, ["nation", "segment"]), scores)
     return cut_lineage(cleaning.fill_float_means(clean, ["balance"]))

@@ -63,6 +63,21 @@ def order_marks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_holidays(spark: SparkSession, folder: str) -> DataFrame:
+    """Holidays of each academic year of the orders: the Sundays and the 25ths that they fall on."""
+    date = F.col("o_orderdate")
+    return (
+        table(spark, folder, "orders")
+        .filter((F.dayofweek(date) == 1) | (F.dayofmonth(date) == 25))
+        .select(
+            calendar.year_name(calendar.year_start(date)).alias("acad_year"),
+            F.month(date).alias("month"),
+            F.dayofmonth(date).alias("day"),
+        )
+        .distinct()
+    )
+
+
 def order_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.build_sequence(order_marks(spark, folder), ENROLMENT)
 

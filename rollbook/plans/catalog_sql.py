@@ -61,14 +61,18 @@ shares AS (
 _SUNDAYS = "(SELECT month(ts), day(ts) FROM events WHERE dayofweek(ts) = 0)"
 
 
-def _sequence(group: str, where: str) -> str:
+def _sequence(group: str, where: str, same: str = "TRUE") -> str:
     return f"""
 {group} AS (
   SELECT d.id, string_agg(d.status, '' ORDER BY d.pos) AS s, count(*) AS len
-  FROM dense d JOIN valid v USING (pos) WHERE {where} GROUP BY d.id
+  FROM dense d JOIN valid v ON v.pos = d.pos AND {same} WHERE {where} GROUP BY d.id
 )"""
 
 
+_SAME_YEAR = "v.year = d.id.year"
+_ALL_IDS = "(SELECT DISTINCT id FROM marks) m"
+
+
 def _overlaps(text: str, pattern: str) -> str:
     k = len(pattern)
     return (
@@ -117,7 +121,12 @@ _VALID_EVENTS = (
     + f""",
 valid AS (SELECT * FROM shares WHERE missing_share < 1 AND (month, day) NOT IN {_SUNDAYS})"""
 )
-_VALID_ORDERS = _ORDER_DAYS + "," + _SHARES + ", valid AS (SELECT * FROM shares WHERE missing_share < 1)"
+# Each academic year by itself: its own shares and its own Sundays and 25ths.
+_YEAR_SHARES = _SHARES.replace("SELECT pos", "SELECT id.year AS year, pos")
+_OFF = "(SELECT year, month(o_orderdate), day(o_orderdate) FROM year_orders WHERE dayofweek(o_orderdate) = 0 OR day(o_orderdate) = 25)"
+_VALID_ORDERS = (
+    _ORDER_DAYS + "," + _YEAR_SHARES + f", valid AS (SELECT * FROM shares WHERE missing_share < 1 AND (year, month, day) NOT IN {_OFF})"
+)
 
 _ALL_MONTHS = "TRUE"
 _BINARY_MONTHS = "d.month IN (12, 1, 2, 3, 4)"
@@ -365,17 +374,23 @@ SELECT 'train' AS split, label, size AS n, size AS ids FROM sizes UNION ALL SELE
     + '\nFROM "full" f JOIN bin USING (id)',
     "seq_pattern_overlap": "WITH" + _VALID_EVENTS + "," + _sequence("jan", "d.month = 1") + "\nSELECT id AS user_id,\n  "
     + ",\n  ".join((_fractions("jan", 1, _PATTERNS), _fractions("jan", 2, _PATTERNS), _lasts("jan"))) + "\nFROM jan",
-    "month_groups": "WITH" + _VALID_ORDERS + "," + _sequence("first", "d.month IN (6, 7, 8)").replace("\nfirst", '\n"first"') + ","
-    + _sequence("mixed", "d.month IN (12, 1, 5)") + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  "
+    "month_groups": "WITH" + _VALID_ORDERS + "," + _sequence("f", "d.month IN (6, 7, 8)", _SAME_YEAR) + ","
+    + _sequence("x", "d.month IN (12, 1, 5)", _SAME_YEAR) + "\nSELECT m.id.o_custkey AS o_custkey, m.id.year AS year,\n  "
     + ",\n  ".join(
-        x.replace("first.", "f.")
-        for x in (_fractions("first", 2, ["a", "p"]), _lasts("first"), _fractions("mixed", 2, ["a", "p"]), _lasts("mixed"))
+        y.replace(f"AS {g}_", f"AS {name}_")
+        for g, name in (("f", "first"), ("x", "mixed")) for y in (_fractions(g, 2, ["a", "p"]), _lasts(g))
     )
-    + '\nFROM "first" f JOIN mixed USING (id)',
-    "seq_last": "WITH" + _VALID_ORDERS + "," + _sequence("full", _ALL_MONTHS).replace("\nfull", '\n"full"')
-    + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  " + _lasts("full").replace("full.", "f.") + '\nFROM "full" f',
-    "seq_binary_absence": "WITH" + _VALID_ORDERS + "," + _sequence("bin", _BINARY_MONTHS)
-    + "\nSELECT id.o_custkey AS o_custkey, id.year AS year,\n  " + _binary("bin", [10, 30, 60, 400]) + "\nFROM bin",
+    + f"\nFROM {_ALL_IDS} LEFT JOIN f ON f.id = m.id LEFT JOIN x ON x.id = m.id",
+    "seq_last": "WITH" + _VALID_ORDERS + "," + _sequence("f", _ALL_MONTHS, _SAME_YEAR)
+    + "\nSELECT m.id.o_custkey AS o_custkey, m.id.year AS year,\n  " + _lasts("f").replace("AS f_", "AS full_")
+    + f"\nFROM {_ALL_IDS} LEFT JOIN f ON f.id = m.id",
+    "seq_binary_absence": "WITH" + _VALID_ORDERS + "," + _sequence("bin", _BINARY_MONTHS, _SAME_YEAR)
+    + "\nSELECT m.id.o_custkey AS o_custkey, m.id.year AS year,\n  "
+    + _binary("bin", [10, 30, 60, 400]).replace("CASE WHEN", "CASE WHEN bin.s IS NULL THEN NULL WHEN")
+    + f"\nFROM {_ALL_IDS} LEFT JOIN bin ON bin.id = m.id",
+    "missing_shares_by_year": "WITH" + _ORDER_DAYS + "," + _YEAR_SHARES + " SELECT * FROM shares",
+    "valid_days_by_year": "WITH" + _ORDER_DAYS + "," + _YEAR_SHARES
+    + f" SELECT * FROM shares WHERE missing_share < 0.995 AND (year, month, day) NOT IN {_OFF}",
     "wide_to_long": """
 SELECT user_id, 1::INTEGER AS month, d::INTEGER AS day, max(CASE WHEN event_type <> 'error' AND day(ts) = d THEN 'p' END) AS status
 FROM events CROSS JOIN range(1, 32) AS r(d) GROUP BY ALL""",

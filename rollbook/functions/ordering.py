@@ -1,18 +1,20 @@
 """Order-dependent work over whole tables without one task that sees every row.
 
-`running_totals` gives exact running sums over a total order; `nth_keys` finds the key
-at given ranks. Both cut the order into ranges with `repartitionByRange`, so they stay
-balanced for any distribution as long as the order has no large ties, and both keep
-only one small row per range outside the executors.
+`running_totals` gives exact running sums over a total order: it cuts the order into ranges with
+`repartitionByRange`, so they stay balanced for any distribution as long as the order has no large ties, and keeps only
+one small row per range outside the executors. `nth_keys` finds the key at given ranks by counting digits.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType, StringType
 
 _PART = "__range"
 _COLLECT_ROWS = 20_000
@@ -90,12 +92,110 @@ def running_totals(
 
 
 def nth_keys(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[tuple]:
-    """Key tuples found at the given 1-based ranks in ascending order of `keys`.
+    """Key tuples found at the given 1-based ranks in ascending order of `keys` (nulls first); rows may share a key.
 
-    `keys` must identify a row. Each pass keeps only the ranges that hold a wanted rank
-    and narrows them again; only range summaries and one final short stretch reach the
-    driver, however many rows there are.
+    Radix selection: each pass counts the rows by the leading digit of their key, at most `_BUCKETS` of them, and keeps
+    only the rows whose digit holds a wanted rank; where these share a key value the next key goes on. Rows are never
+    moved: counts are, and in the end one short stretch. All ranks are narrowed in the same pass.
     """
+    kinds = {k: _kind(df.schema[k].dataType) for k in keys}
+    if None in kinds.values():
+        return _nth_by_ranges(df, keys, ranks)
+    narrow = df.select(*[F.col(f"`{k}`") for k in keys])
+    bounds = [x for i, k in enumerate(keys) for x in (F.min(f"`{k}`").alias(f"low{i}"), F.max(f"`{k}`").alias(f"high{i}"), F.count_if(F.col(f"`{k}`").isNull()).alias(f"nulls{i}"))]
+    first = narrow.agg(F.count(F.lit(1)).alias("n"), *bounds).first()
+    found: dict[int, tuple] = {}
+    items = [_Stretch(F.lit(True), 0, 0, sorted(set(ranks)), 0, first)]
+    while items:
+        open_items, digits = [], []
+        for item in items:
+            while item.key < len(keys) and item.single(item.key):
+                item.key, item.level = item.key + 1, 0
+            if item.key == len(keys) or item.row.n <= _COLLECT_ROWS:
+                stretch = narrow.filter(item.condition)
+                for rank in item.wanted:
+                    found[rank] = tuple(stretch.orderBy(*keys).offset(rank - item.base - 1).limit(1).first())
+            else:
+                name = keys[item.key]
+                open_items.append(item)
+                digits.append(_digit(F.col(f"`{name}`"), kinds[name], item))
+        if not open_items:
+            break
+        number, digit = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (item, own) in enumerate(zip(open_items, digits)):
+            number, digit = F.when(item.condition, i).otherwise(number), F.when(item.condition, own).otherwise(digit)
+        parts = (
+            narrow.select("*", number.alias("__item"), digit.alias("__digit"))
+            .filter(F.col("__item").isNotNull())
+            .groupBy("__item", "__digit")
+            .agg(F.count(F.lit(1)).alias("n"), *bounds)
+            .collect()
+        )
+        items = []
+        for part in sorted(parts, key=lambda r: (r["__item"], r["__digit"] is not None, r["__digit"] or 0)):
+            item, own = open_items[part["__item"]], digits[part["__item"]]
+            inside = [r for r in item.wanted if item.base < r <= item.base + part.n]
+            if inside:
+                same = own.isNull() if part["__digit"] is None else own == F.lit(part["__digit"])
+                items.append(_Stretch(item.condition & same, item.key, item.level + 1, inside, item.base, part))
+            item.base += part.n
+    return [found[r] for r in ranks]
+
+
+@dataclass
+class _Stretch:
+    """Rows that hold wanted ranks: the condition they meet, the key and level to go on with, and the rows before them."""
+
+    condition: Column
+    key: int
+    level: int
+    wanted: list[int]
+    base: int
+    row: Row  # n, and low, high and nulls of each key
+
+    def single(self, key: int) -> bool:
+        """Whether all rows have the same value of a key."""
+        nulls = self.row[f"nulls{key}"]
+        return nulls == self.row.n or not nulls and self.row[f"low{key}"] == self.row[f"high{key}"]
+
+
+_BITS = 12
+#: Digits in a pass at most: 2 ** _BITS for numbers, two bytes for text.
+_BUCKETS = 65_536
+
+
+def _kind(data_type: DataType) -> str | None:
+    if isinstance(data_type, IntegralType):
+        return "long"
+    if isinstance(data_type, (DoubleType, FloatType)):
+        return "double"
+    return "string" if isinstance(data_type, StringType) else None
+
+
+def _digit(key: Column, kind: str, item: _Stretch) -> Column:
+    """A whole number that grows with the key and parts the rows of `item`, whose least and greatest key are known."""
+    low, high = item.row[f"low{item.key}"], item.row[f"high{item.key}"]
+    if kind == "string":
+        two = F.substring(F.encode(key, "UTF-8"), 2 * item.level + 1, 2)
+        # Longer than what was read so far, or at its end: the end comes first.
+        return F.when(F.length(two) > 0, F.conv(F.rpad(F.hex(two), 4, "0"), 16, 10).cast("long")).otherwise(
+            F.when(key.isNotNull(), F.lit(-1))
+        ).cast("long")
+    if kind == "long":
+        key, width = key.cast("long"), (int(high) - int(low)).bit_length()
+        if width > 62:
+            return F.shiftright(key, 64 - _BITS)
+        return F.shiftright(key - F.lit(int(low)).cast("long"), max(0, width - _BITS))
+    if math.isnan(high) or math.isinf(high) or math.isinf(low):
+        known = F.when(F.isnan(key), 3).when(key == float("inf"), 2).when(key == float("-inf"), 0)
+        return F.when(key.isNotNull(), known.otherwise(1)).cast("long")
+    count = 2**_BITS
+    share = (key.cast("double") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+    return F.least(F.floor(share * count), F.lit(count - 1)).cast("long")
+
+
+def _nth_by_ranges(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[tuple]:
+    """`nth_keys` for keys without digits: ranges are cut by sampling, and those with a wanted rank are cut again."""
     narrow = df.select(*keys)
     key = F.struct(*keys)
     ranges = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -117,10 +217,11 @@ def nth_keys(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[t
                 stretch = rows.filter(
                     (key >= key_literal(part.low, keys, df)) & (key <= key_literal(part.high, keys, df))
                 )
-                if part.n <= _COLLECT_ROWS or part.low == part.high or len(parts) == 1:
+                if part.low == part.high:
+                    found.update({rank: tuple(part.low) for rank in inside})
+                elif part.n <= _COLLECT_ROWS:
                     for rank in inside:
-                        row = stretch.orderBy(*keys).offset(rank - base - 1).limit(1).first()
-                        found[rank] = tuple(row)
+                        found[rank] = tuple(stretch.orderBy(*keys).offset(rank - base - 1).limit(1).first())
                 else:
                     work.append((stretch, inside, base))
             base += part.n

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import calibration, curves, sampling, thresholds
-from rollbook.operators.encoding import CategoryMeans, fit_category_means
+from rollbook.operators.encoding import CategoryMeans, fit_category_means, with_ordered_numbers
 
 _WEIGHT = "__weight"
 _IS_VALIDATION = "__is_validation"
@@ -141,17 +141,26 @@ def _with_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _encode(
-    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], smoothing: float
+    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], smoothing: float,
+    id: str | None = None, seed: int = 0,
 ) -> tuple[CategoryMeans, VectorAssembler, DataFrame]:
-    """Category means of the training rows, the assembler, and rows (label, features, validation or not) of both."""
+    """Category means of the training rows, the assembler, and rows (label, features, validation or not) of both.
+
+    With an `id` training rows get the means of the rows before them in its seeded order; without one they get the means
+    themselves, which hold their own labels. Validation rows always get the means, as rows to be scored do.
+    """
     means = fit_category_means(train, categorical, label, smoothing)
     assembler = VectorAssembler(
         inputCols=[*[f"__mean_{c}" for c in categorical], *[f"{_NUMBER}{c}" for c in numerical]], outputCol=_FEATURES
     )
-    both = train.withColumn(_IS_VALIDATION, F.lit(False)).unionByName(
-        val.withColumn(_IS_VALIDATION, F.lit(True))
+    if id is None:
+        own = means.transform(train)
+    else:
+        own = with_ordered_numbers(train, categorical, label, id, seed, max(1.0, smoothing))
+    both = own.withColumn(_IS_VALIDATION, F.lit(False)).unionByName(
+        means.transform(val).withColumn(_IS_VALIDATION, F.lit(True))
     )
-    encoded = assembler.transform(_with_numbers(means.transform(both), numerical))
+    encoded = assembler.transform(_with_numbers(both, numerical))
     return means, assembler, encoded.select(label, _FEATURES, _IS_VALIDATION)
 
 
@@ -177,15 +186,20 @@ def _split_params(params: Mapping) -> tuple[dict, float, bool | str | None]:
 
 
 def fit_classifier(
-    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping
+    train: DataFrame, val: DataFrame, label: str, categorical: Sequence[str], numerical: Sequence[str], params: Mapping,
+    id: str | None = None,
 ) -> Classifier:
     """Category means from the training rows only, then boosting with `val` as validation set.
 
+    With a unique `id` the trees are fitted on ordered means, in which no row's own label is.
+
     `params` are those of `GBTClassifier`, and `smoothing` (rows) of the means and
     `balanced` (class weights, a key of `WEIGHTINGS`). Missing numbers count as lower than all others.
     """
     params, smoothing, balanced = _split_params(params)
-    means, assembler, rows = _encode(train, val, label, categorical, numerical, smoothing)
+    # Read once for each level of each tree.
+    means, assembler, rows = _encode(train, val, label, categorical, numerical, smoothing, id, params.get("seed") or 0)
+    rows = cut_lineage(rows) if id is not None else rows
     return Classifier(means, PipelineModel([assembler, _fit_trees(rows, label, params, balanced)]), balanced)
 
 
@@ -238,6 +252,7 @@ def random_search(
     tune: Mapping,
     n_trials: int,
     seed: int = 0,
+    id: str | None = None,
 ) -> tuple[dict, DataFrame]:
     """Seeded random search for the largest trapezoid area under the precision-recall curve on `val`.
 
@@ -250,7 +265,7 @@ def random_search(
         params = draw_params(rng, fixed, tune)
         own, smoothing, balanced = _split_params(params)
         if smoothing not in encoded:
-            encoded[smoothing] = cut_lineage(_encode(train, val, label, categorical, numerical, smoothing)[2])
+            encoded[smoothing] = cut_lineage(_encode(train, val, label, categorical, numerical, smoothing, id, seed)[2])
         rows = encoded[smoothing]
         scored = _with_probability(_fit_trees(rows, label, own, balanced).transform(rows.filter(_IS_VALIDATION)))
         area = curves.auc_pr(curves.score_table(scored, v.PROBA_1, label)).first()[0]
@@ -291,9 +306,9 @@ def train(
     params, trials = {"seed": seed, **params}, None
     if tune:
         params, trials = random_search(
-            df_train, df_val, label, categorical, numerical, params, tune, n_trials, seed
+            df_train, df_val, label, categorical, numerical, params, tune, n_trials, seed, id
         )
-    classifier = fit_classifier(df_train, df_val, label, categorical, numerical, params)
+    classifier = fit_classifier(df_train, df_val, label, categorical, numerical, params, id)
     slim = classifier.transform(df_val).select(
         id, (F.lit(1.0) - F.col(v.PROBA_1)).alias(v.PROBA_0), v.PROBA_1, label
     )

@@ -1,7 +1,7 @@
 """Prevalence sampling and the stratified split.
 
 Both pick the first n rows of each class in a given order. The key of the n-th row is
-found from narrow (label, key) columns; the wide rows are then filtered against it
+found by counting narrow (label, key) columns; the wide rows are then filtered against it
 without being moved.
 """
 
@@ -18,12 +18,12 @@ _HASH = "__hash"
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
-    """Rows per class."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = {row[label]: row.n for row in rows}
-    if set(counts) - {0, 1}:
-        raise ValueError(f"label '{label}' must be 0 or 1, found {sorted(map(str, counts))}")
-    return {0: counts.get(0, 0), 1: counts.get(1, 0)}
+    """Rows per class, from one pass that also finds any other label."""
+    of_class = [F.count_if(F.col(label) == c) for c in (0, 1)]
+    counts = df.agg(*[F.coalesce(n, F.lit(0)).alias(f"n{c}") for c, n in enumerate(of_class)], F.count(F.lit(1)).alias("n")).first()
+    if counts.n0 + counts.n1 != counts.n:
+        raise ValueError(f"label '{label}' must be 0 or 1, found {counts.n - counts.n0 - counts.n1} rows with another value")
+    return {0: counts.n0, 1: counts.n1}
 
 
 def sample_sizes(negatives: int, positives: int, p: float | str) -> dict[int, int]:
@@ -60,8 +60,14 @@ def first_per_class(
     return keep
 
 
+def hash_order(id: Column, seed: int) -> Column:
+    """A seeded order of ids: the first 60 bits of the MD5 of `id:seed`, the same in any engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", id.cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def _hash_key(df: DataFrame, id: str, seed: int) -> DataFrame:
-    return df.withColumn(_HASH, F.xxhash64(F.col(id), F.lit(seed)))
+    return df.withColumn(_HASH, hash_order(F.col(id), seed))
 
 
 def prevalence_sample(

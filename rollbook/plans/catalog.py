@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage, use_checkpoint_dir
 from rollbook.operators import (
-    attribution, calibration, cleaning, curves, explanation, model, sampling, sequence, thresholds, yearly,
+    attribution, calibration, cleaning, curves, encoding, explanation, model, sampling, sequence, thresholds, yearly,
 )
 from rollbook.plans import catalog_data as data
 from rollbook.plans.explaining import explain
@@ -254,12 +254,25 @@ def prevalence_sample_up(spark, folder):
 
 @query
 def prevalence_sample_seeded(spark, folder):
-    sample = sampling.prevalence_sample(data.scored_orders(spark, folder), "label", 0.25, "id", seed=5)
-    return sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.prevalence_sample(data.scored_orders(spark, folder), "label", 0.25, "id", seed=5)
+
+
+@query
+def prevalence_sample_text_key(spark, folder):
+    """The first rows by a text key."""
+    rows = data.scored_orders(spark, folder).withColumn("id", F.concat(F.lit("order-"), F.col("id")))
+    return sampling.prevalence_sample(rows, "label", 0.2, "id")
 
 
 @query
 def stratified_split(spark, folder):
+    halves = sampling.stratified_split(data.scored_orders(spark, folder), "label", "id", 0.7, 42)
+    marked = [h.select("id", "label", F.lit(name).alias("split")) for h, name in zip(halves, ("train", "val"))]
+    return marked[0].unionByName(marked[1])
+
+
+@query
+def split_sizes(spark, folder):
     halves = sampling.stratified_split(data.scored_orders(spark, folder), "label", "id", 0.7, 42)
     marked = [h.withColumn("split", F.lit(name)) for h, name in zip(halves, ("train", "val"))]
     return (
@@ -589,6 +602,38 @@ def _fit(spark, folder):
     return model.train(train, val, "target", "studentid", categorical, numerical, _PARAMS), features
 
 
+def _categories(spark, folder):
+    rows = data.unified_customers(spark, folder)
+    return rows.select(_student().alias("studentid"), "target", "nation", "segment")
+
+
+@query
+def category_means(spark, folder):
+    """Categories of rows to be scored, by the means of all training rows."""
+    rows = cut_lineage(_categories(spark, folder))
+    means = encoding.fit_category_means(rows, ["nation", "segment"], "target", smoothing=2.0)
+    numbers = [F.round(f"number_{c}", 9).alias(f"number_{c}") for c in ("nation", "segment")]
+    return means.transform(rows, "number_").select("studentid", *numbers)
+
+
+@query
+def category_means_ordered(spark, folder):
+    """Categories of training rows, each by the rows before it."""
+    rows = cut_lineage(_categories(spark, folder))
+    found = encoding.ordered_numbers(rows, ["nation", "segment"], "target", "studentid", seed=3)
+    return found.select("studentid", *[F.round(c, 9).alias(f"number_{c}") for c in ("nation", "segment")])
+
+
+@query
+def class_weights(spark, folder):
+    """Each kind's weights, as the rows that a fit would see them."""
+    rows = cut_lineage(_categories(spark, folder))
+    kinds = {"Balanced": "balanced", "SqrtBalanced": "root"}
+    for kind, name in kinds.items():
+        rows = model.with_weights(rows, "target", model.class_weights(rows, "target", kind)).withColumnRenamed("__weight", name)
+    return rows.select("studentid", *[F.round(name, 9).alias(name) for name in kinds.values()])
+
+
 @query
 def train_score(spark, folder):
     fitted, features = _fit(spark, folder)
@@ -617,7 +662,7 @@ def random_search(spark, folder):
             }
         },
     }
-    return model.random_search(train, val, "target", categorical, numerical, {"maxIter": 2}, tune, 2, seed=1)[1]
+    return model.random_search(train, val, "target", categorical, numerical, {"maxIter": 2}, tune, 2, seed=1, id="studentid")[1]
 
 
 @query

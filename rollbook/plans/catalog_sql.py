@@ -283,6 +283,28 @@ def _places(pattern: str) -> str:
     return ", ".join(pattern.format(i=i) for i in (1, 2, 3))
 
 
+def _md5_order(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5({key} || ':{seed}'), 1, 15))::BIGINT"
+
+
+def _smoothed(column: str) -> str:
+    mean = f"(sum(target) OVER (PARTITION BY {column}) + 2.0::DOUBLE * avg(target) OVER ()) / (count(*) OVER (PARTITION BY {column}) + 2.0::DOUBLE)"
+    return f"round({mean}, 9) AS number_{column}"
+
+
+def _before(column: str) -> str:
+    frame = f"OVER (PARTITION BY {column} ORDER BY place, studentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"round((coalesce(sum(target) {frame}, 0) + 0.5::DOUBLE) / (count(*) {frame} + 1.0::DOUBLE), 9) AS number_{column}"
+
+
+_SPLIT_SIZES = """,
+counts AS (SELECT label, count(*) AS n, floor(0.7::DOUBLE * (SELECT count(*) FROM scored)) * count(*) / (SELECT count(*) FROM scored) AS exact FROM scored GROUP BY label),
+sizes AS (
+  SELECT label, n, floor(exact)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, label)
+         <= floor(0.7::DOUBLE * (SELECT count(*) FROM scored)) - (SELECT sum(floor(exact)) FROM counts) THEN 1 ELSE 0 END AS size FROM counts
+)
+"""
+
 SQL: dict[str, str] = {
     "year_and_grade": """
 WITH y AS (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 6 THEN 1 ELSE 0 END AS y FROM orders),
@@ -350,16 +372,18 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) <= CASE WHEN label =
     "prevalence_sample_up": "WITH" + _scored() + """,
 counts AS (SELECT count(*) FILTER (label = 1) AS pos FROM scored)
 SELECT id, score, label FROM scored, counts QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) <= pos""",
-    "prevalence_sample_seeded": "WITH" + _scored() + """,
-counts AS (SELECT count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM scored)
-SELECT unnest([0, 1])::INTEGER AS label,
-       unnest([neg, ceil(neg * 0.25::DOUBLE / 0.75::DOUBLE)::BIGINT])::BIGINT AS n FROM counts""",
-    "stratified_split": "WITH" + _scored() + """,
-counts AS (SELECT label, count(*) AS n, floor(0.7::DOUBLE * (SELECT count(*) FROM scored)) * count(*) / (SELECT count(*) FROM scored) AS exact FROM scored GROUP BY label),
-sizes AS (
-  SELECT label, n, floor(exact)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, label)
-         <= floor(0.7::DOUBLE * (SELECT count(*) FROM scored)) - (SELECT sum(floor(exact)) FROM counts) THEN 1 ELSE 0 END AS size FROM counts
-)
+    "prevalence_sample_seeded": "WITH" + _scored() + f""",
+counts AS (SELECT count(*) FILTER (label = 0) AS neg FROM scored)
+SELECT id, score, label FROM scored, counts
+QUALIFY label = 0 OR row_number() OVER (PARTITION BY label ORDER BY {_md5_order("id", 5)}, id) <= ceil(neg * 0.25::DOUBLE / 0.75::DOUBLE)""",
+    "prevalence_sample_text_key": "WITH" + _scored() + """,
+counts AS (SELECT count(*) FILTER (label = 0) AS neg FROM scored)
+SELECT 'order-' || id AS id, score, label FROM scored, counts
+QUALIFY label = 0 OR row_number() OVER (PARTITION BY label ORDER BY 'order-' || id) <= ceil(neg * 0.2::DOUBLE / (1 - 0.2::DOUBLE))""",
+    "stratified_split": "WITH" + _scored() + _SPLIT_SIZES + f"""
+SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_md5_order("id", 42)}, id) <= size THEN 'train' ELSE 'val' END AS split
+FROM scored JOIN sizes USING (label)""",
+    "split_sizes": "WITH" + _scored() + _SPLIT_SIZES + """
 SELECT 'train' AS split, label, size AS n, size AS ids FROM sizes UNION ALL SELECT 'val', label, n - size, n - size FROM sizes""",
     "seq_build": "WITH" + _EVENT_DAYS + "SELECT id AS user_id, string_agg(status, '' ORDER BY pos) AS days FROM dense GROUP BY id",
     "missing_shares": "WITH" + _ORDER_DAYS + "," + _SHARES + " SELECT * FROM shares",
@@ -494,4 +518,13 @@ w AS (
 )
 SELECT l_orderkey, l_linenumber, l_partkey, round((((only_q - none) + (both_known - only_d)) / 2)::DOUBLE, 9) AS quantity,
        round((((only_d - none) + (both_known - only_q)) / 2 + second)::DOUBLE, 9) AS discount FROM w""",
+    "category_means": "WITH" + _UNIFIED + f"""
+SELECT o_custkey || '-' || year AS studentid, {_smoothed("nation")}, {_smoothed("segment")} FROM unified""",
+    "category_means_ordered": "WITH" + _UNIFIED + f""",
+ordered AS (SELECT *, {_md5_order("studentid", 3)} AS place FROM (SELECT *, o_custkey || '-' || year AS studentid FROM unified))
+SELECT studentid, {_before("nation")}, {_before("segment")} FROM ordered""",
+    "class_weights": "WITH" + _UNIFIED + """,
+counts AS (SELECT target, count(*) AS n FROM unified GROUP BY target)
+SELECT o_custkey || '-' || year AS studentid, round((SELECT max(n) FROM counts) / n::DOUBLE, 9) AS balanced,
+       round(sqrt((SELECT max(n) FROM counts) / n::DOUBLE), 9) AS root FROM unified JOIN counts USING (target)""",
 }

@@ -42,3 +42,31 @@ def test_nth_keys_of_text(spark):
 
 def test_checkpoint_dir_is_set(spark):
     assert use_checkpoint_dir(spark)
+
+
+NAN, INF = float("nan"), float("inf")
+KEYS = {
+    "long": ("bigint", [5, -3, 2**62, -(2**63), 2**63 - 1, 0, 0, 7, None, None] + list(range(-50, 50))),
+    "double": ("double", [0.5, -1e300, 1e300, NAN, NAN, INF, -INF, None, 0.0, 5e-324] + [i / 7 for i in range(60)]),
+    "string": ("string", ["", "a", "ab", "abc", "abcd", "abcde", "é", "ééé", "\U0001f600", None, "b", "a"] + [f"long prefix {i}" for i in range(60)]),
+}
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_nth_keys_of_odd_values(spark, kind, monkeypatch):
+    from rollbook.functions import ordering
+
+    monkeypatch.setattr(ordering, "_COLLECT_ROWS", 3)
+    ddl, values = KEYS[kind]
+    df = spark.createDataFrame([(x, i % 4) for i, x in enumerate(values)], f"k {ddl}, t int")
+    ordered = [tuple(r) for r in df.orderBy("k", "t").collect()]
+    ranks = [1, 2, 3, len(values) // 2, len(values) - 2, len(values) - 1, len(values)]
+    got = nth_keys(df, ["k", "t"], ranks)
+    assert str(got) == str([ordered[r - 1] for r in ranks])
+
+
+def test_selection_by_counts_moves_no_rows(spark):
+    import datetime
+
+    df = spark.createDataFrame([(datetime.date(2020, 1, 1 + i % 28),) for i in range(200)], "d date")
+    assert nth_keys(df, ["d"], [1, 200]) == [(datetime.date(2020, 1, 1),), (datetime.date(2020, 1, 28),)]

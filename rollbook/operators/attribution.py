@@ -11,17 +11,22 @@ a time with NumPy.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.operators.model import EwsModel, numeric_input
 
+# The function travels with its tasks, so executors need no installed copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -133,16 +138,18 @@ def tree_shap(df: DataFrame, trees: Sequence[Tree], inputs: Mapping[str, Column]
     only those columns cross to Python, as Arrow batches, and the row they belong to waits
     in the JVM.
     """
-    shared = df.sparkSession.sparkContext.broadcast(list(trees))
+    # Plain values, which workers can read without this library.
+    shared = df.sparkSession.sparkContext.broadcast([vars(tree) for tree in trees])
     names = list(inputs)
     kind = T.StructType([T.StructField(name, T.DoubleType()) for name in names])
 
     @F.pandas_udf(kind)
     def contributions(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        made = [Tree(**fields) for fields in shared.value]
         for batch in batches:
             columns = [c.to_numpy(dtype=float) for c in batch]
             out = [np.zeros(len(columns[0])) for _ in names]
-            for tree in shared.value:
+            for tree in made:
                 add_contributions(tree, columns, out)
             yield pd.DataFrame(dict(zip(names, out)), columns=names)
 

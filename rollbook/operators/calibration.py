@@ -14,7 +14,8 @@ def fit_calibrator(
     df: DataFrame, score: str, label: str, bins: int = v.CALIBRATION_BINS, table: DataFrame | None = None
 ) -> IsotonicRegressionModel:
     """Fit on the (mean score, positive rate) pairs of the non-empty bins, each with weight 1."""
-    table = curves.score_table(df, score, label) if table is None else table
+    # Bins need no order, so rows do.
+    table = curves.score_rows(df, score, label) if table is None else table
     return fit_bins(curves.calibration_bins(table, bins))
 
 

@@ -31,33 +31,48 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 
 def first_of_copies(df: DataFrame, id: str, order_key: str) -> DataFrame:
-    """(id, smallest order key) of the ids that occur more than once, written to the checkpoint folder.
+    """(id, smallest order key, rows that have it) of the ids that occur more than once, written to the checkpoint folder.
 
-    Reads two columns only; copies of an id collapse before the shuffle.
+    Null keys come first, as in any ascending order. Reads two columns only. Rows are counted by id and key first, which
+    spreads an id with very many rows; what is left of an id collapses before the second shuffle.
     """
-    copies = df.groupBy(F.col(f"`{id}`").alias("__id")).agg(
-        F.min(F.col(f"`{order_key}`")).alias("__first"), F.count(F.lit(1)).alias("__n")
+    own, key = F.col(f"`{id}`").alias("__id"), F.col(f"`{order_key}`").alias("__key")
+    counted = df.groupBy(own, key).agg(F.count(F.lit(1)).alias("__n"))
+    # Keys that are not null compare by themselves; a null one says so in front.
+    first = F.min(F.struct(F.col("__key").isNotNull().alias("there"), F.col("__key").alias("key"), F.col("__n").alias("n")))
+    copies = counted.groupBy("__id").agg(first.alias("__first"), F.sum("__n").alias("__rows"))
+    return cut_lineage(
+        copies.filter(F.col("__rows") > 1).select(
+            "__id", F.col("__first.key").alias("__first"), F.col("__first.n").alias("__tied"), F.lit(True).alias("__copied")
+        )
     )
-    return cut_lineage(copies.filter(F.col("__n") > 1).drop("__n"))
 
 
 def drop_copies(df: DataFrame, firsts: DataFrame, id: str, order_key: str) -> DataFrame:
     """Keep the rows of ids that occur once, and of the others the one in `firsts`.
 
-    With few such ids the rows stay where they are and are only filtered; with many of
-    them an ordinary join takes over.
+    With few such ids the rows stay where they are and are only filtered; with many of them an ordinary join takes over,
+    whose frequent ids Spark splits. Where several rows of an id have the smallest key, the one with the least hash over
+    all columns stays; only these rows are moved, and they meet in a minimum.
     """
-    known = firsts.count()
+    known, tied = firsts.agg(F.count(F.lit(1)), F.count_if(F.col("__tied") > 1)).first()
     if known == 0:
         return df
     side = F.broadcast(firsts) if known <= BROADCAST_IDS else firsts
     joined = df.join(side, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left")
-    kept = joined.filter(F.col("__first").isNull() | (F.col(f"`{order_key}`") == F.col("__first")))
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    own = [F.col(f"`{c}`") for c in df.columns]
+    first = F.col(f"`{order_key}`").eqNullSafe(F.col("__first"))
+    kept = joined.filter(F.col("__copied").isNull() | (first & (F.col("__tied") == 1))).select(*own)
+    if not tied:
+        return kept
+    rows = joined.filter(F.col("__copied") & first & (F.col("__tied") > 1)).select("__id", F.struct(*own).alias("__row"))
+    chosen = rows.groupBy("__id").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+    return kept.unionByName(chosen.select(*[F.col("__row").getField(c).alias(c) for c in df.columns]))
 
 
 def dedup_first(df: DataFrame, id: str, order_key: str) -> DataFrame:
-    """Keep, per id, the row with the smallest `order_key`, which is unique and never null."""
+    """Keep one row per id: that with the smallest `order_key`, null before all others; of rows that tie there the one
+    with the least hash over all columns."""
     return drop_copies(df, first_of_copies(df, id, order_key), id, order_key)
 
 
@@ -237,7 +252,7 @@ def preprocess(
 ) -> tuple[DataFrame, dict[str, list[str]], dict[str, float | None]]:
     """Clean the unified table; returns it with its column groups and the means it used.
 
-    `order_key` (unique, never null) says which rows come first; it is dropped unless the
+    `order_key` (best unique and never null) says which rows come first; it is dropped unless the
     contract lists it, and `keep_order` names a column to keep its values in. The means
     are those of this table (before the filters) unless `means` brings others.
     """

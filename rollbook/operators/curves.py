@@ -378,10 +378,13 @@ def histogram(
     """([by], bin, low, high, n) over even bins from the smallest to the largest value.
 
     All values of `by` share the edges; empty bins are left out. `weight` counts a row
-    that often.
+    that often. A null, NaN or infinite value is an error.
     """
     x = F.col(column).cast("double")
-    ends = df.agg(F.min(x).alias("low"), F.max(x).alias("high")).first()
+    odd = F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    ends = df.agg(F.min(x).alias("low"), F.max(x).alias("high"), odd.alias("odd")).first()
+    if ends.odd:
+        raise ValueError(f"{column} must be a finite number in every row, {ends.odd} are not")
     low, high = ends.low, ends.high
     if low is None:
         low, high = 0.0, 1.0
@@ -389,7 +392,7 @@ def histogram(
         low, high = low - 0.5, high + 0.5
     edges = even_edges(low, high, bins + 1)
     keys = [by] if by else []
-    placed = df.filter(x.isNotNull()).select(
+    placed = df.select(
         *keys,
         # The largest value belongs to the last bin.
         F.least(edges_passed(x, edges) - 1, F.lit(bins - 1)).alias("bin"),

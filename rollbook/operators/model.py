@@ -31,6 +31,8 @@ _FEATURES = "__features"
 _NUMBER = "__number_"
 #: What missing numbers are to the trees.
 MISSING_NUMBER = -1e300
+#: Version of what `save` writes; `load` refuses others.
+STATE_VERSION = 2
 #: Values of `balanced`, and the power of the class ratio that each uses.
 WEIGHTINGS = {True: 1.0, "Balanced": 1.0, "SqrtBalanced": 0.5}
 
@@ -70,6 +72,9 @@ class EwsModel:
     params: dict = field(default_factory=dict)
     threshold_max_lift: float | None = None
     valid_days: list[int] | None = None
+    #: Column means of the training table, and the contract it was cleaned by.
+    means: dict[str, float | None] | None = None
+    contract: str | None = None
 
     @property
     def features(self) -> list[str]:
@@ -98,6 +103,9 @@ class EwsModel:
                 "numerical": self.numerical,
                 "params": self.params,
                 "valid_days": self.valid_days,
+                "means": self.means,
+                "contract": self.contract,
+                "version": STATE_VERSION,
                 "overall": self.classifier.means.overall,
                 "sizes": self.classifier.means.sizes,
             }
@@ -111,6 +119,9 @@ class EwsModel:
     def load(cls, path: str) -> EwsModel:
         """Read what `save` wrote."""
         settings = json.loads(SparkSession.active().read.text(f"{path}/settings").first().value)
+        version = settings.pop("version", None)
+        if version != STATE_VERSION:
+            raise ValueError(f"the model below {path} has state version {version}, not {STATE_VERSION}")
         means = CategoryMeans.load(f"{path}/means", settings.pop("overall"), settings.pop("sizes"))
         classifier = Classifier(means, PipelineModel.load(f"{path}/stages"))
         return cls(classifier, IsotonicRegressionModel.load(f"{path}/calibrator"), **settings)

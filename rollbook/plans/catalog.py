@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,61 @@ def year_and_grade(spark, folder):
     return contract.with_year_and_grade(orders.select("o_orderkey", path.alias("path")), F.col("path"))
 
 
+def _scratch(spark):
+    """A folder of this query's own, which all executors share."""
+    return f"{use_checkpoint_dir(spark)}/catalog/{uuid.uuid4()}"
+
+
+def _first_days(months):
+    """Marks of the first of each month, by column."""
+    return [F.substring("days", sequence.calendar_position(m, 1) + 1, 1).alias(f"{m}_1") for m in months]
+
+
+@query
+def read_years(spark, folder):
+    """Two years with other day columns each, written under a path of their own and read back as one table."""
+    path, rows = _scratch(spark), cut_lineage(data.unified_customers(spark, folder))
+    own = [_student().alias("studentid"), F.col("target").cast("bigint").alias("target")]
+    for year, months, grade in ((1996, (6, 9), 1), (1997, (9, 1), 12)):
+        part = rows.filter(F.col("year") == year).select(*own, *_first_days(months))
+        part.write.parquet(f"{path}/ay{year % 100}{year % 100 + 1}_grade{grade}.parquet")
+    read = contract.read_unified(spark, f"{path}/*.parquet", contract=data.customer_contract())
+    return read.select("studentid", "target", "6_1", "9_1", "1_1", "acad_year", "grade")
+
+
+@query
+def frames_round_trip(spark, folder):
+    """Splits written as frames and read back, the split from the path."""
+    path = _scratch(spark)
+    halves = sampling.stratified_split(data.scored_orders(spark, folder), "label", "id", 0.7, 42)
+    frames.write_frames(dict(zip(("train", "val"), halves)), path)
+    return spark.read.parquet(path).select("split", "id", "score", "label")
+
+
+@query
+def scores_round_trip(spark, folder):
+    path = _scratch(spark)
+    frames.write_scores(data.scored_orders(spark, folder), path)
+    return spark.read.csv(path, header=True, schema="id bigint, score double, label int")
+
+
+@query
+def metrics_round_trip(spark, folder):
+    path = _scratch(spark)
+    frames.write_metrics(frames.metrics_long(curves.confusion(_counts(spark, folder), 0.5), "orders"), path)
+    return spark.read.schema("split string, metric string, value double").json(path)
+
+
+@query
+def feature_kinds(spark, folder):
+    """The features of the unified table by kind, each with its number of values."""
+    rows = data.unified_customers(spark, folder).drop(*data.ENROLMENT)
+    kinds = dict(zip(("categorical", "numerical"), cleaning.split_features(rows, None, "target")))
+    counted = rows.agg(*[F.count(c).alias(c) for names in kinds.values() for c in names])
+    kind_of = F.when(F.col("feature").isin(kinds["categorical"]), "categorical").otherwise("numerical")
+    return counted.unpivot([], counted.columns, "feature", "n").select("feature", kind_of.alias("kind"), "n")
+
+
 @query
 def holidays(spark, folder):
     """A calendar document per year, made from the order dates: Sundays, the 25ths and one odd month."""
@@ -137,6 +193,30 @@ def exam_rectify(spark, folder):
     return cleaning.fill_exam_scores(rows, ["maths_score"])
 
 
+@query
+def fill_training_means(spark, folder):
+    """Rows of later years, cleaned with the means of the earlier ones."""
+    rows = data.unified_customers(spark, folder).select(
+        _student().alias("studentid"), "target", "nation", "segment", "balance", "urgent_score", "low_score", "year"
+    )
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("urgent_attnd", "low_attnd")}).withColumn("arrival", F.col("studentid"))
+    rows = cut_lineage(rows)
+    rules = {k: e for k, e in data.customer_contract().items() if k in rows.columns}
+    early, late = rows.filter("year < 1998").drop("year"), rows.filter("year >= 1998").drop("year")
+    _, _, means = cleaning.preprocess(early, rules, {}, "arrival")
+    clean, _, _ = cleaning.preprocess(late, rules, {}, "arrival", means=means)
+    return clean.select("studentid", F.round("balance", 6).alias("balance"), "urgent_score", "urgent_attnd")
+
+
+@query
+def dedup_first_ties(spark, folder):
+    """One row per customer of the smallest date, which several orders may share and some lack."""
+    orders = data.table(spark, folder, "orders")
+    key = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate").cast("date").cast("string"))
+    rows = orders.select("o_custkey", key.alias("day"), (F.col("o_totalprice") > 0).alias("priced"))
+    return cleaning.dedup_first(rows, "o_custkey", "day")
+
+
 @query
 def fill_status_and_text(spark, folder):
     events = data.table(spark, folder, "events").select(
@@ -640,6 +720,43 @@ def train_score(spark, folder):
     return fitted.model.transform(features).select("studentid", "target", v.PROBA_0, v.PROBA_1, v.PREDICTION)
 
 
+@query
+def model_checks(spark, folder):
+    """What must hold for each row that a saved and loaded model scores."""
+    fitted, features = _fit(spark, folder)
+    path = _scratch(spark)
+    fitted.model.save(path)
+    loaded = model.EwsModel.load(path)
+    ours = fitted.model.transform(features).select("studentid", *[F.col(c).alias(f"a_{c}") for c in (v.PROBA_0, v.PROBA_1, v.PREDICTION)])
+    both = loaded.transform(features).join(ours, "studentid")
+    one, p = F.col(v.PROBA_1), F.col(v.PREDICTION)
+    return both.select(
+        "studentid",
+        F.col("target").cast("int").alias("target"),
+        (F.abs(one + F.col(v.PROBA_0) - 1) < 1e-12).alias("sums_to_one"),
+        one.between(0.0, 1.0).alias("a_probability"),
+        (p == (one >= F.lit(loaded.threshold)).cast("int")).alias("follows_threshold"),
+        ((one == F.col(f"a_{v.PROBA_1}")) & (p == F.col(f"a_{v.PREDICTION}"))).alias("same_when_loaded"),
+    )
+
+
+@query
+def attribution_checks(spark, folder):
+    """Attributions and base value of each row sum to the trees' margin."""
+    fitted, features = _fit(spark, folder)
+    path = _scratch(spark)
+    fitted.model.save(path)
+    loaded = model.EwsModel.load(path)
+    margin = (2 * vector_to_array("__margin")[1]).alias("margin")
+    margins = loaded.classifier.transform(features).select("studentid", margin)
+    base = attribution.model_trees(loaded, path)[1]
+    values = attribution.shap_values(loaded, features, path)
+    total = sum((F.col("shap").getField(c) for c in loaded.features), F.lit(base))
+    return values.select("studentid", total.alias("total")).join(margins, "studentid").select(
+        "studentid", (F.abs(F.col("total") - F.col("margin")) < 1e-9).alias("adds_up")
+    )
+
+
 @query
 def loss_table(spark, folder):
     return _fit(spark, folder)[0].losses

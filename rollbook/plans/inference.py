@@ -8,7 +8,7 @@ from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning, sequence
 from rollbook.operators.model import EwsModel
 from rollbook.plans.training import DataSettings, Run, score_splits, write_run
-from rollbook.sources.contract import one_year
+from rollbook.sources.contract import fingerprint, one_year
 
 
 def infer(
@@ -17,9 +17,14 @@ def infer(
     """Clean the whole table as one split, score it and, if it has the label, evaluate it.
 
     Float means and valid days are those of this table, unless the settings share the
-    training split's valid days. With a `path` the results are written there.
+    training table's means or its split's valid days. A contract with other names, types or
+    groups than the model's is an error. With a `path` the results are written there.
     """
     fitted = EwsModel.load(model_path)
+    if fitted.contract not in (None, fingerprint(data.contract)):
+        raise ValueError("the contract is not the one the model was trained by")
+    if data.share_means and fitted.means is None:
+        raise ValueError("the model holds no training means")
     label = data.label if data.label in [c.lower() for c in df.columns] else None
     clean, groups, _ = cleaning.preprocess(
         one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label

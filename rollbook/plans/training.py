@@ -12,7 +12,7 @@ from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning, model, sampling, sequence, thresholds
 from rollbook.sources import frames
-from rollbook.sources.contract import one_year
+from rollbook.sources.contract import fingerprint, one_year
 
 
 _ORDER = "__order"
@@ -23,7 +23,8 @@ class DataSettings:
     """How a unified table becomes features.
 
     `share_valid_days` uses the training split's valid days everywhere, so all splits
-    have sequences of the same length; otherwise each table has its own.
+    have sequences of the same length; otherwise each table has its own. `share_means`
+    fills numbers without a value by the training table's means at inference, too.
     """
 
     contract: Mapping[str, list]
@@ -36,6 +37,7 @@ class DataSettings:
     sequences: sequence.SequenceConfig = sequence.SequenceConfig()
     drop: Sequence[str] = ()
     share_valid_days: bool = False
+    share_means: bool = False
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ def train_and_evaluate(
     df: DataFrame, holidays: DataFrame | None, data: DataSettings, fit: FitSettings, path: str | None = None
 ) -> Run:
     """Run everything on a unified table; with a `path`, write model, frames, scores and metrics there."""
-    clean, groups, _ = cleaning.preprocess(
+    clean, groups, means = cleaning.preprocess(
         one_year(df, data.acad_year), data.contract, data.statuses, data.order_key, data.filters, data.index, data.label,
         keep_order=_ORDER,
     )
@@ -92,6 +94,7 @@ def train_and_evaluate(
         fit.params, fit.tune, fit.n_trials, fit.bins,
     )
     fitted.model.valid_days = shared
+    fitted.model.means, fitted.model.contract = means, fingerprint(data.contract)
     scored = {name: cut_lineage(fitted.model.transform(part)) for name, part in splits.items()}
     run = score_splits(fitted.model, scored, data.label, data.index)
     run.fit = fitted

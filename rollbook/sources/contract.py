@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,12 @@ def check_contract(contract: Mapping[str, list], label: str = v.LABEL) -> list[s
     return problems
 
 
+def fingerprint(contract: Mapping[str, list]) -> str:
+    """A hash of the contract's names, types and groups; descriptions do not count."""
+    rules = sorted((name, entry[0], entry[2] if len(entry) > 2 else None) for name, entry in contract.items())
+    return hashlib.sha256(json.dumps(rules).encode()).hexdigest()
+
+
 def contract_schema(contract: Mapping[str, list]) -> T.StructType:
     """The contract as a Spark schema; description and group travel as field metadata."""
     fields = []
@@ -103,16 +111,27 @@ def status_map(meaning: Mapping[str, Iterable[str]]) -> dict[str, str]:
     return {raw: v.STATUS_NAMES[name] for name, raws in meaning.items() for raw in raws}
 
 
-def read_unified(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def read_unified(
+    spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", contract: Mapping[str, list] | None = None, **options
+) -> DataFrame:
     """Read unified tables; year and grade come from the path.
 
     The path of every file must hold `ay<yyyy>_grade<n>`, as the name of the file or of
     a folder above it. CSV columns are matched by the header and stay text; the
-    contract's types are applied by the cleaning.
+    contract's types are applied by the cleaning. With a `contract`, Parquet files whose columns differ (each year has
+    day columns of its own) are read as one table: a column that some files lack is null there, one that no file has is
+    left out, and one that the contract does not name is an error.
     """
     if fmt == "csv":
         options = {"header": True, **options}
-    data = spark.read.format(fmt).options(**options).load(path)
+    if contract is not None and fmt == "parquet":
+        options = {"mergeSchema": True, **options}
+    data = spark.read.format(fmt).options(**options).load(path if isinstance(path, str) else list(path))
+    if contract is not None:
+        known = {name.lower() for name in contract}
+        unknown = [c for c in data.columns if c.lower() not in known]
+        if unknown:
+            raise ValueError(f"columns without a contract entry: {sorted(unknown)}")
     return with_year_and_grade(data, F.col("_metadata.file_path"))
 
 

@@ -128,3 +128,14 @@ def test_preprocess_of_an_empty_table(spark):
     df = spark.createDataFrame([], "ord int, studentid string, district string, `6_1` string, jun_agg_attnd double")
     clean, _, means = cleaning.preprocess(df, CONTRACT, MAP, "ord")
     assert clean.count() == 0 and means == {"jun_agg_attnd": None}
+
+
+def test_null_and_tied_order_keys(spark):
+    rows = [("a", None, "x"), ("a", None, "y"), ("a", 1, "z"), ("b", 2, "same"), ("b", 2, "same"), ("b", 3, "late"), ("c", 1, "p"), ("c", 1, "q"), ("d", None, "lone")]
+    rows += [(None, 7, "n"), (None, 7, "n")] + [("hot", 5, f"h{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, ord int, v string")
+    got = [tuple(r) for r in cleaning.dedup_first(df.repartition(5), "id", "ord").collect()]
+    again = [tuple(r) for r in cleaning.dedup_first(df.repartition(3), "id", "ord").collect()]
+    assert sorted(got, key=str) == sorted(again, key=str) and len(got) == 6
+    by = {r[0]: r for r in got}
+    assert by["a"][1] is None and by["a"][2] in "xy" and by["b"] == ("b", 2, "same") and by["d"] == ("d", None, "lone") and by[None] == (None, 7, "n")

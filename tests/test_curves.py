@@ -191,3 +191,10 @@ def test_tables_are_read_from_the_written_scores(spark, four):
     t = curves.score_table(four, "s", "y")
     assert "LocalTableScan" not in plan_of(curves.pr_curve(t)) and "CartesianProduct" not in plan_of(curves.ppv_npv(t))
     assert "NestedLoop" not in plan_of(curves.recall_at_k(four, "s", "y", "id", table=t))
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_histograms_refuse_values_that_are_no_number(spark, odd):
+    df = spark.createDataFrame([(1.0,), (2.0,), (odd,)], "x double")
+    with pytest.raises(ValueError, match="finite"):
+        curves.histogram(df, "x")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, n_words
 
@@ -27,8 +28,11 @@ class Matching:
 
     seed: int = 3
     rarity: float = 1e8
-    least_seeds: float = 0.25  # share of an item's seeds that count as rare at least
+    least_seeds: float = 0.25  # share of the seeds of each stretch of an item that count as rare at least,
+    stretch: int = 16  # so many seeds long, so that an excerpt has seeds of its own
     similarity: float = 0.5  # weight aligned over weight of the item
+    run_words: int = 30  # so many words of an item in one passage are a copy, however long the item is,
+    run_similarity: float = 0.8  # if they align with this share of their own weight
     least_words: int = 6
     slack: int = 12  # words looked at beyond the item's own length on either side
     block_words: int = 1_000_000  # benchmark words in one pass over the documents
@@ -45,6 +49,7 @@ class Block:
     keys: np.ndarray  # sorted seed keys
     places: np.ndarray  # (item, position) of each seed
     gap: float
+    short: dict[int, list[tuple[int, np.ndarray]]]  # items of fewer words than a seed, by first word
 
 
 def item_blocks(items: DataFrame, matching: Matching) -> Iterator[list[tuple]]:
@@ -97,20 +102,24 @@ def make_block(docs: DataFrame, rows: list[tuple], matching: Matching) -> Block:
     words = [np.array([number[w] for w in t], np.int64) for t in texts]
     counts, total = _word_counts(docs, number)
     weight = np.log((total + 2) / (counts + 1))
-    keys, places = [], []
+    keys, places, short = [], [], {}
     for item, w in enumerate(words):
+        if 0 < len(w) < matching.seed:
+            short.setdefault(int(w[0]), []).append((item, w))
         own = _keys(w, matching.seed, len(number))
         if not len(own):
             continue
         # Rarity is what chance would bring, from single words; leaked copies hardly change it.
         chance = -sum(weight[w[k : k + len(own)]] for k in range(matching.seed))
-        limit = max(-np.log(matching.rarity), np.sort(chance)[min(len(own) - 1, int(np.ceil(matching.least_seeds * len(own))))])
-        for at in np.flatnonzero(chance <= limit):
-            keys.append(own[at])
-            places.append((item, at))
+        for begin in range(0, len(own), matching.stretch):
+            part = chance[begin : begin + matching.stretch]
+            limit = max(-np.log(matching.rarity), np.sort(part)[min(len(part) - 1, int(np.ceil(matching.least_seeds * len(part))))])
+            for at in begin + np.flatnonzero(part <= limit):
+                keys.append(own[at])
+                places.append((item, at))
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     gap = 0.5 * float(weight.mean()) if len(weight) else 1.0
-    return Block([i for i, _ in rows], number, words, weight, np.array(keys, np.int64)[order], np.array(places, np.int64).reshape(-1, 2)[order], gap)
+    return Block([i for i, _ in rows], number, words, weight, np.array(keys, np.int64)[order], np.array(places, np.int64).reshape(-1, 2)[order], gap, short)
 
 
 def align(item: np.ndarray, weight: np.ndarray, passage: np.ndarray, gap: float) -> tuple[float, int, int]:
@@ -128,13 +137,24 @@ def align(item: np.ndarray, weight: np.ndarray, passage: np.ndarray, gap: float)
     return best
 
 
+def _short_matches(own: np.ndarray, block: Block) -> list[tuple]:
+    """Items too short for a seed, where exactly their words stand; the first such place of each."""
+    found = {}
+    for at in np.flatnonzero(np.isin(own, np.fromiter(block.short, np.int64, len(block.short)))).tolist():
+        for item, target in block.short[int(own[at])]:
+            if item not in found and np.array_equal(own[at : at + len(target)], target):
+                found[item] = (item, 1.0, at, at + len(target))
+    return [found[k] for k in sorted(found)]
+
+
 def matches(words: list[bytes], block: Block, matching: Matching) -> list[tuple]:
     """(item, score, start, stop): for each item found in a text its best passage, by word."""
     own = np.fromiter((block.number.get(w, -1) for w in words), np.int64, len(words))
+    found = _short_matches(own, block) if block.short else []
     keys = _keys(own, matching.seed, len(block.number))
     at = np.flatnonzero(keys >= 0)
     if not len(at) or not len(block.keys):
-        return []
+        return found
     low = np.searchsorted(block.keys, keys[at], "left")
     high = np.searchsorted(block.keys, keys[at], "right")
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -147,18 +167,20 @@ def matches(words: list[bytes], block: Block, matching: Matching) -> list[tuple]
                 regions[-1] = (min(start, regions[-1][0]), max(stop, regions[-1][1]))
             else:
                 regions.append((start, stop))
-    found = []
     for item, regions in spans.items():
         target = block.words[item]
         whole = float(block.weight[target].sum())
-        best = (0.0, 0, 0)
+        best, run = (0.0, 0, 0), False
         for start, stop in regions:
             passage = own[start:stop]
             score, i, j = align(target, block.weight, passage, block.gap)
             if score / whole > best[0]:
                 back = align(target[: i + 1][::-1], block.weight, passage[: j + 1][::-1], block.gap)
                 best = (score / whole, start + j - back[2], start + j + 1)
-        if best[0] >= matching.similarity and best[2] - best[1] >= min(matching.least_words, len(target)):
+                # The part of the item that aligned, by itself.
+                part = target[i - back[1] : i + 1]
+                run = len(part) >= matching.run_words and score >= matching.run_similarity * float(block.weight[part].sum())
+        if run or best[0] >= matching.similarity and best[2] - best[1] >= min(matching.least_words, len(target)):
             found.append((item, min(best[0], 1.0), best[1], best[2]))
     return found
 
@@ -167,17 +189,20 @@ def contaminated(docs: DataFrame, items: DataFrame, matching: Matching = Matchin
     """Documents with a copy of a benchmark item, exact or edited: doc_id, item_id, score, first_word, end_word.
 
     One row for each row of `docs` and item whose best passage aligns with at least `similarity` of the item's weight
-    (words weigh by their rarity in all documents). Items of fewer words than a seed have no seeds and are not searched;
-    neither are null texts. Repeated documents return repeated rows, items equal in id and text count once, rows without
-    id stay. Empty tables give no rows; extra columns are ignored. The benchmark goes through memory in blocks of
-    bounded size, with two passes over the documents for each; nothing but results is shuffled.
+    (words weigh by their rarity in all documents), or holds `run_words` of its words nearly as they are. `score` is the
+    share of the item's weight. An item of fewer words than a seed is found wherever exactly its words stand together;
+    leave such items out of the benchmark if they are ordinary words. Null and empty texts, and items without a word,
+    match nothing. A very long text is searched as a whole, one text at a time. Repeated documents return repeated rows,
+    items equal in id and text count once, rows without id stay; ids may be of any type. Empty tables give no rows; extra
+    columns are ignored. The benchmark goes through memory in blocks of bounded size, with two passes over the documents
+    for each; nothing but results is shuffled.
     """
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint"
     result = None
     for rows in item_blocks(items, matching):
         shared = docs.sparkSession.sparkContext.broadcast(vars(make_block(docs, rows, matching)))
-        item_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else None
+        item_type = to_arrow_type(items.schema["item_id"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
             block = Block(**shared.value)
@@ -197,9 +222,14 @@ def contaminated(docs: DataFrame, items: DataFrame, matching: Matching = Matchin
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, matching: Matching = Matching()) -> DataFrame:
-    """The documents without a copy of a benchmark item, all columns as they are; each is judged where it is, without a join."""
+    """The documents without a copy of a benchmark item, all columns as they are; each is judged where it is, without a join.
+
+    What a copy is, `contaminated` says. Null and empty texts stay; repeated rows stay or go together; an empty table
+    stays empty. Words weigh by their rarity in all of `docs`, whichever block of the benchmark is searched.
+    """
+    given = docs
     for rows in item_blocks(items, matching):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(make_block(docs, rows, matching)))
+        shared = docs.sparkSession.sparkContext.broadcast(vars(make_block(given, rows, matching)))
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:

@@ -153,14 +153,52 @@ def test_decontamination(spark, docs, odd, items):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
-def test_licenses(docs):
-    plain = {n: b" ".join(decontaminate.plain_words(t)) for n, t in licenses.TEMPLATES}
-    want = {(r.doc_id, n) for r in docs.collect() for n, p in plain.items() if p in b" ".join(decontaminate.plain_words(r.text))}
-    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
-    assert want <= got and len(got) <= len(want) * 1.1
+def test_license_lines_found_without_the_templates(spark):
+    """Lines that speak of a license, found by a pattern of their own: nearly all must be reported, and few others."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = re.compile(r"\b(licen[sc]ed? under|under (the|a) .{0,60}licen[sc]e|licen[sc]e, version|spdx-license|permission is hereby granted)", re.I)
+    want = {r.doc_id for r in docs.collect() if line.search(r.text or "")}
+    got = {r.doc_id for r in licenses.scan(docs).collect()}
+    assert len(want) > 30 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(got)
     assert licenses.Scan().found(0.4) > 0.999
 
 
+@pytest.mark.parametrize("name, text", licenses.TEMPLATES)
+def test_each_notice_is_told_from_the_others(name, text):
+    index = licenses.Index(licenses.TEMPLATES, licenses.Scan())
+    filler = " ".join(f"filler{i}" for i in range(37))
+    for own in (text, f"{filler} {text} {filler}", f"{filler} {filler} {text.upper()}"):
+        found = index.search([filler, own, None, ""])
+        # A body that several licenses share may name the family; nothing else may be reported.
+        assert name in {x[1] for x in found} or any(x[1].startswith(name) or name.startswith(x[1]) for x in found), found
+        assert all(x[0] == 1 for x in found) and len(found) == 1, found
+
+
+def test_license_versions_and_very_long_texts():
+    index = licenses.Index(licenses.TEMPLATES, licenses.Scan())
+    text = "This work is licensed under the GNU General Public License, version 2. " + "word " * 200_000 + "Licensed under CC BY-SA 4.0. Released under the MIT License."
+    assert [(x[1], x[2]) for x in index.search([text])] == [("CC-BY-SA-4.0", 1.0), ("GPL-2.0", 1.0), ("MIT", 1.0)]
+
+
+def test_long_items_short_items_and_ids_of_any_type(spark):
+    long_item = " ".join(f"long{i}" for i in range(250))
+    part = " ".join(f"long{i}" for i in range(80, 180))
+    noise = " ".join(f"noise{i}" for i in range(40))
+    rows = [(1, f"{noise} {part} {noise}"), (2, noise), (3, "we saw Quixotic zebras, there"), (4, "quixotic grey zebras"), (5, None), (6, ""), (7, " ".join(f"long{i}" for i in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for kind in ("int", "bigint", "string", "smallint"):
+        bench = spark.createDataFrame([(1, long_item), (2, "Quixotic zebras"), (3, "?!"), (4, None)], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        found = decontaminate.contaminated(docs, bench)
+        assert found.schema["item_id"].dataType.simpleString() == kind
+        assert sorted((r.doc_id, int(r.item_id)) for r in found.collect()) == [(1, 1), (3, 2)]
+    one = {r.doc_id: (r.first_word, r.end_word) for r in found.collect()}
+    assert one == {1: (40, 140), 3: (2, 4)}
+    small = decontaminate.Matching(block_words=1)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench, small).collect()) == [2, 4, 5, 6, 7]
+
+
 def test_lattice_scores(docs):
     got = {r.doc_id: r for r in lm.score(docs, lm.Setting(rounds=1)).collect()}
     small = {r.doc_id: r for r in lm.score(docs, lm.Setting(rounds=1, head=50)).collect()}

@@ -195,7 +195,7 @@ def test_long_items_short_items_and_ids_of_any_type(spark):
         assert sorted((r.doc_id, int(r.item_id)) for r in found.collect()) == [(1, 1), (3, 2)]
     one = {r.doc_id: (r.first_word, r.end_word) for r in found.collect()}
     assert one == {1: (40, 140), 3: (2, 4)}
-    small = decontaminate.Matching(block_words=1)
+    small = decontaminate.Matching(block_words=150)  # two blocks
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench, small).collect()) == [2, 4, 5, 6, 7]
 
 

@@ -74,6 +74,45 @@ def test_quality_measures_and_verdicts(docs, odd, spark):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_mixing_gives_documents_chances_of_their_own(docs, monkeypatch):
+    rows = mixing.mix(docs).collect()
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    partial = 0
+    for group in by_source.values():
+        whole = min(2, int(group[0].target // group[0].source_size))
+        need = group[0].target - whole * group[0].source_size
+        # Chances times sizes make up the words that whole copies leave, and grow with the digits of the size.
+        if whole < 2:
+            assert sum(r.chance * r["size"] for r in group) == pytest.approx(need, rel=1e-9, abs=1e-6)
+        steps = sorted({(len(bin(r["size"])) - 2, r.chance) for r in group})
+        assert [c for _, c in steps] == sorted(c for _, c in steps) and len({b for b, _ in steps}) == len(steps)
+        partial = max(partial, len({c for _, c in steps if 0 < c < 1}))
+        # A document that is certain gets the further copy; none gets more than one.
+        assert all(r.copies == whole + 1 for r in group if r.chance >= 1)
+        assert all(whole <= r.copies <= whole + 1 for r in group)
+        # Order sampling: taken are those of the least odds over inclusion odds.
+        odds = {r: mixing_odds(r, docs) for r in group if 0 < r.chance < 1} if len(group) < 400 else {}
+        taken = [o for r, o in odds.items() if r.copies > whole]
+        assert not taken or max(taken) <= min([o for r, o in odds.items() if r.copies == whole], default=math.inf)
+    assert partial > 1
+    # A plan too large for every task is joined by key and salt: same rows.
+    monkeypatch.setattr(mixing, "_PLAN_ROWS", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, rows))
+
+
+_TEXTS = {}
+
+
+def mixing_odds(row, docs):
+    if not _TEXTS:
+        _TEXTS.update({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    digest = hashlib.md5(f"mix:{row.doc_id}:{row.source or ''}:{_TEXTS[row.doc_id] or ''}".encode()).hexdigest()
+    u = (int(digest[:13], 16) + 0.5) / 2**52
+    return u / (1 - u) / (row.chance / (1 - row.chance))
+
+
 def test_mixing_equals_sql_and_meets_targets(docs, odd):
     assert differences(mixing.mix(docs), connect(SF), mixing.MIX_SQL) == []
     rows = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("x"), F.max("size").alias("s"), F.max("source_size").alias("z")).collect()

@@ -2,7 +2,9 @@
 
 `running_totals` gives exact running sums over a total order: it cuts the order into ranges with
 `repartitionByRange`, so they stay balanced for any distribution as long as the order has no large ties, and keeps only
-one small row per range outside the executors. `nth_keys` finds the key at given ranks by counting digits.
+one small row per range outside the executors. `descending_totals` does it for distinct numbers, whose ranges are fixed
+beforehand by a sketch of quantiles, so that one shuffle serves range and order. `nth_keys` finds the key at given ranks
+by counting digits.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType, StringType
 
-_PART = "__range"
+#: Number of the range in which a row lies.
+RANGE = "__range"
 _COLLECT_ROWS = 20_000
 
 
@@ -51,18 +55,18 @@ def running_totals(
     cannot make the two uses disagree. With `keep` the result is written as well.
     """
     placed = cut_lineage(
-        df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id())
+        df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
     )
-    per_range = placed.groupBy(_PART).agg(
+    per_range = placed.groupBy(RANGE).agg(
         *[F.sum(c).alias(f"__sum_{name}") for c, name in sums.items()]
     )
     # One row per range: at most spark.sql.shuffle.partitions rows.
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(_PART).rowsBetween(
+    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(RANGE).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     bases = per_range.select(
-        _PART,
+        RANGE,
         *[
             F.coalesce(F.sum(f"__sum_{name}").over(earlier), F.lit(0)).alias(f"__base_{name}")
             for name in sums.values()
@@ -70,7 +74,7 @@ def running_totals(
         *[F.sum(f"__sum_{name}").over(everything).alias(f"total_{name}") for name in sums.values()],
     )
     inside = (
-        Window.partitionBy(_PART)
+        Window.partitionBy(RANGE)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -78,7 +82,7 @@ def running_totals(
         placed.select(
             "*", *[F.sum(c).over(inside).alias(f"__inside_{name}") for c, name in sums.items()]
         )
-        .join(F.broadcast(bases), _PART)
+        .join(F.broadcast(bases), RANGE)
         .select(
             *df.columns,
             *[
@@ -91,6 +95,58 @@ def running_totals(
     return cut_lineage(totals) if keep else totals
 
 
+def range_edges(df: DataFrame, key: str) -> list[float]:
+    """Ascending edges that cut the numbers in `key` into about equal parts, fewer of them than shuffle partitions."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
+    return sorted({x + 0.0 for x in df.agg(quantiles).first()[0] or []})
+
+
+def with_range(df: DataFrame, key: str, edges: Sequence[float]) -> DataFrame:
+    """Add the number of the range in which the double `key` lies; an edge belongs to the range above it."""
+    inner = [x for x in edges if math.isfinite(x)]
+    if not inner:
+        return df.withColumn(RANGE, F.lit(0.0))
+    splits = [-math.inf, *inner, math.inf]
+    return Bucketizer(splits=splits, inputCol=key, outputCol=RANGE).transform(df)
+
+
+def descending_totals(df: DataFrame, key: str, sums: dict[str, str], following: dict[str, str]) -> DataFrame:
+    """Running sums from the largest `key` down, grand totals, and values of the next smaller key.
+
+    `df` has one row per key and `RANGE` from `with_range`. `sums` is as in `running_totals`; `following` maps a column
+    to the name its value in the next row gets, null in the last. Rows move once, to their range; across ranges only one
+    row each counts: its sums, and its first row's values. Ranges are fixed, so a lost executor recomputes the same.
+    """
+    head = F.max_by(F.struct(*following), key)
+    per_range = df.groupBy(RANGE).agg(*[F.sum(c).alias(f"__sum_{n}") for c, n in sums.items()], head.alias("__head"))
+    # One row per range: at most spark.sql.shuffle.partitions rows.
+    down = Window.orderBy(F.col(RANGE).desc())
+    earlier, everything = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = per_range.select(
+        RANGE,
+        *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in sums.values()],
+        *[F.sum(f"__sum_{n}").over(everything).alias(f"total_{n}") for n in sums.values()],
+        F.lead("__head").over(down).alias("__next_head"),
+    )
+    order = Window.partitionBy(RANGE).orderBy(F.col(key).desc())
+    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        df.select(
+            "*",
+            *[F.sum(c).over(inside).alias(f"__inside_{n}") for c, n in sums.items()],
+            F.lead(F.struct(*following)).over(order).alias("__next"),
+        )
+        .join(F.broadcast(bases), RANGE)
+        .select(
+            *[c for c in df.columns if c != RANGE],
+            *[(F.col(f"__base_{n}") + F.col(f"__inside_{n}")).alias(f"cum_{n}") for n in sums.values()],
+            *[f"total_{n}" for n in sums.values()],
+            *[F.coalesce(F.col("__next"), F.col("__next_head"))[c].alias(name) for c, name in following.items()],
+        )
+    )
+
+
 def nth_keys(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[tuple]:
     """Key tuples found at the given 1-based ranks in ascending order of `keys` (nulls first); rows may share a key.
 
@@ -205,8 +261,8 @@ def _nth_by_ranges(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) ->
         rows, wanted, base = work.pop()
         parts = (
             rows.repartitionByRange(ranges, *keys)
-            .withColumn(_PART, F.spark_partition_id())
-            .groupBy(_PART)
+            .withColumn(RANGE, F.spark_partition_id())
+            .groupBy(RANGE)
             .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
             .orderBy("low")
             .collect()

@@ -16,24 +16,25 @@ from pyspark.sql import functions as F
 
 from rollbook import vocabulary as v
 from rollbook.functions.bins import edge_at, edges_passed, even_edges
-from rollbook.functions.ordering import running_totals
+from rollbook.functions.ordering import RANGE, cut_lineage, descending_totals, range_edges, running_totals, with_range
 
 
 def score_table(df: DataFrame, score: str, label: str | None = None) -> DataFrame:
-    """(score, n, pos, place, cum_n, cum_pos, total_n, total_pos) per distinct score.
+    """(score, n, pos, place, cum_n, cum_pos, total_n, total_pos, next_n, next_pos) per distinct score.
 
-    `place` numbers the scores from the highest down. Running counts include the row
-    itself and all higher scores. For scores and labels see `score_rows`.
+    `place` numbers the scores from the highest down. Running counts include the row itself and all higher scores;
+    the next counts are those of the next lower score, null in the last row. For scores and labels see `score_rows`.
+    The scores are read twice: for a sketch of their quantiles, which fixes the ranges, and for the counts.
     """
-    counts = score_rows(df, score, label).groupBy("score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    ranked = running_totals(
-        counts.withColumn("__one", F.lit(1)),
-        [F.col("score").desc()],
-        {"n": "n", "pos": "pos", "__one": "rank"},
-        keep=True,
+    rows = score_rows(df, score, label)
+    counts = (
+        with_range(rows, "score", range_edges(rows, "score"))
+        .groupBy(RANGE, "score")
+        .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.lit(1).cast("bigint").alias("__one"))
     )
-    return ranked.select(
-        "score", "n", "pos", F.col("cum_rank").alias("place"), "cum_n", "cum_pos", "total_n", "total_pos"
+    ranked = descending_totals(counts, "score", {"n": "n", "pos": "pos", "__one": "rank"}, {"n": "next_n", "pos": "next_pos"})
+    return cut_lineage(
+        ranked.select("score", "n", "pos", F.col("cum_rank").alias("place"), "cum_n", "cum_pos", "total_n", "total_pos", "next_n", "next_pos")
     )
 
 
@@ -45,7 +46,7 @@ def score_rows(df: DataFrame, score: str, label: str | None = None) -> DataFrame
     """
     given = F.col(score).cast("double")
     empty = given.isNull() | F.isnan(given)
-    value = F.when(empty, F.raise_error(F.lit(f"{score} must be a number in every row"))).otherwise(given)
+    value = F.when(empty, F.raise_error(F.lit(f"{score} must be a number in every row"))).otherwise(given + F.lit(0.0))  # one zero only
     if label is None:
         positive = F.lit(0)
     else:
@@ -87,7 +88,7 @@ def roc_curve(table: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr) from (0, 0) on; by default without points on a straight stretch."""
     points = table
     if drop_intermediate:
-        points = _with_next(table).filter(
+        points = table.filter(
             F.col("next_n").isNull()  # last point
             | (F.col("cum_n") == F.col("n"))  # first point
             | (F.col("next_n") - F.col("next_pos") != F.col("n") - F.col("pos"))
@@ -105,14 +106,6 @@ def roc_curve(table: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     return curve.unionByName(start)
 
 
-def _with_next(table: DataFrame) -> DataFrame:
-    """Add the counts of the next lower score, found by its place."""
-    following = table.select(
-        (F.col("place") - 1).alias("place"), F.col("n").alias("next_n"), F.col("pos").alias("next_pos")
-    )
-    return table.join(following, "place", "left")
-
-
 def _area_terms() -> dict[str, Column]:
     """Aggregates over the score table; each score adds its own slice of an area."""
     before_n, before_pos = F.col("cum_n") - F.col("n"), F.col("cum_pos") - F.col("pos")

@@ -279,7 +279,8 @@ def random_search(
             encoded[smoothing] = cut_lineage(_encode(train, val, label, categorical, numerical, smoothing, id, seed)[2])
         rows = encoded[smoothing]
         scored = _with_probability(_fit_trees(rows, label, own, balanced).transform(rows.filter(_IS_VALIDATION)))
-        area = curves.auc_pr(curves.score_table(scored, v.PROBA_1, label)).first()[0]
+        narrow = cut_lineage(scored.select(v.PROBA_1, label))
+        area = curves.auc_pr(curves.score_table(narrow, v.PROBA_1, label)).first()[0]
         trials.append((trial, params, area))
     best = max(trials, key=lambda t: t[2])[1]
     log = train.sparkSession.createDataFrame(

@@ -429,7 +429,7 @@ SELECT user_id, 1::INTEGER AS month, d::INTEGER AS day, max(CASE WHEN event_type
 FROM events CROSS JOIN range(1, 32) AS r(d) GROUP BY ALL""",
     "seq_from_wide": "WITH" + _EVENT_DAYS + """
 SELECT id AS user_id, string_agg(CASE WHEN month = 1 AND status = 'p' THEN 'p' ELSE 'm' END, '' ORDER BY pos) AS days FROM dense GROUP BY id""",
-    "score_table": "WITH" + _scored(3) + " SELECT * FROM ranked",
+    "score_table": "WITH" + _scored(3) + " SELECT *, lead(n) OVER w AS next_n, lead(pos) OVER w AS next_pos FROM ranked WINDOW w AS (ORDER BY place)",
     "pr_curve": "WITH" + _scored() + " SELECT threshold, precision, recall FROM curve UNION ALL SELECT NULL, 1.0, 0.0",
     "roc_curve": "WITH" + _scored() + """
 SELECT threshold, fpr, recall AS tpr FROM curve

@@ -6,6 +6,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from rollbook.functions.ordering import descending_totals, range_edges, with_range
 from rollbook.operators import curves, thresholds
 
 
@@ -198,3 +199,12 @@ def test_histograms_refuse_values_that_are_no_number(spark, odd):
     df = spark.createDataFrame([(1.0,), (2.0,), (odd,)], "x double")
     with pytest.raises(ValueError, match="finite"):
         curves.histogram(df, "x")
+
+
+def test_score_table_ranks_without_range_shuffle_and_curves_without_join(spark):
+    df = spark.range(1000).select((F.col("id") % 97 / 97).alias("s"), (F.col("id") % 2).cast("int").alias("y"))
+    rows = curves.score_rows(df, "s", "y")
+    counts = with_range(rows, "score", range_edges(rows, "score")).groupBy("__range", "score").agg(F.sum("n").alias("n"))
+    plan = descending_totals(counts, "score", {"n": "n"}, {"n": "next_n"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("Join") == 1  # the join is that with one row a range
+    assert "Join" not in curves.roc_curve(curves.score_table(df, "s", "y"))._jdf.queryExecution().optimizedPlan().toString()

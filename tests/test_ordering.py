@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.functions.ordering import nth_keys, running_totals, use_checkpoint_dir
+from rollbook.functions.ordering import descending_totals, nth_keys, range_edges, running_totals, use_checkpoint_dir, with_range
 
 
 @pytest.mark.parametrize("partitions", ["1", "3", "8"])
@@ -26,6 +26,27 @@ def test_running_totals_match_one_sorted_pass(spark, partitions):
     assert {f[2:] for f in found.values()} == {(3000, total)}
 
 
+@pytest.mark.parametrize("partitions", ["1", "2", "8"])
+@pytest.mark.parametrize("values", [[], [0.5], [float("-inf"), -1.0, 0.0, 0.25, float("inf")], [i * 0.37 % 1 for i in range(3000)] + [0.9] * 2000])
+def test_descending_totals_match_one_sorted_pass(spark, partitions, values):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.createDataFrame([(x,) for x in values], "s double")
+        edges = range_edges(rows, "s")
+        assert len(edges) < max(2, int(partitions))
+        counts = with_range(rows, "s", edges).groupBy("__range", "s").agg(F.count("*").alias("n"))
+        got = descending_totals(counts, "s", {"n": "n"}, {"n": "after"}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    distinct, total, expected = sorted(set(values), reverse=True), 0, []
+    for i, x in enumerate(distinct):
+        total += values.count(x)
+        after = values.count(distinct[i + 1]) if i + 1 < len(distinct) else None
+        expected.append((x, values.count(x), total, len(values), after))
+    assert sorted(map(tuple, got), reverse=True) == expected
+
+
 def test_nth_keys_narrow_down_to_the_exact_rows(spark):
     df = spark.range(300_000).select(
         (F.col("id") % 2).cast("int").alias("label"), (F.col("id") * 7919 % 300_007).alias("key")

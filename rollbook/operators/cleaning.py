@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,19 +189,10 @@ def split_features(df: DataFrame, index: str | None = v.INDEX, label: str | None
     )
 
 
-def quality_report(
-    df: DataFrame,
-    contract: Mapping[str, list],
-    id: str = v.INDEX,
-    label: str | None = v.LABEL,
-    statuses: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Counts of what would stop or distort the cleaning, as rows (column, check, n).
-
-    Checks: `null`, `bad_cast`, `unknown_status`, `bad_label` and, for the id column,
-    `duplicate_ids` (ids that occur more than once). One aggregate over the columns
-    plus one grouping by id.
-    """
+def _quality_terms(
+    df: DataFrame, contract: Mapping[str, list], label: str | None, statuses: Mapping[str, str] | None
+) -> dict[tuple[str, str], Column]:
+    """(column, check) -> whether a row fails it."""
     known = set(statuses or {}) | set(v.STATUSES)
     groups = contracts.column_groups(contract)
     terms: dict[tuple[str, str], Column] = {}
@@ -220,6 +211,23 @@ def quality_report(
         if name == label:
             number = value.try_cast("double")
             terms[name, "bad_label"] = ~empty & (number.isNull() | ~number.isin(0.0, 1.0))
+    return terms
+
+
+def quality_report(
+    df: DataFrame,
+    contract: Mapping[str, list],
+    id: str = v.INDEX,
+    label: str | None = v.LABEL,
+    statuses: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Counts of what would stop or distort the cleaning, as rows (column, check, n).
+
+    Checks: `null`, `bad_cast`, `unknown_status`, `bad_label` and, for the id column,
+    `duplicate_ids` (ids that occur more than once). One aggregate over the columns
+    plus one grouping by id. `QualityWatch` counts the same while a table is cleaned.
+    """
+    terms = _quality_terms(df, contract, label, statuses)
     counted = df.agg(
         F.array(
             *[
@@ -239,6 +247,37 @@ def quality_report(
     return counted.unionByName(copies)
 
 
+class QualityWatch:
+    """The counts of `quality_report`, taken from the pass that writes the cleaned rows.
+
+    Give it to `preprocess` as `watch`, run one action on the cleaned table (write it, say), then ask for the `report`:
+    nothing is read a second time. Rows count as they come in, copies and filtered rows included.
+    """
+
+    def __init__(self) -> None:
+        self._observation = Observation()
+        self._names: list[tuple[str, str]] = []
+        self._copies: tuple[str, DataFrame] | None = None
+
+    def attach(
+        self, df: DataFrame, contract: Mapping[str, list], id: str, label: str | None, statuses: Mapping[str, str], copies: DataFrame
+    ) -> DataFrame:
+        """`df`, watched; `copies` has a row for each id that occurs more than once."""
+        terms = _quality_terms(df, contract, label, statuses)
+        self._names, self._copies = list(terms), (id, copies)
+        return df.observe(self._observation, *[F.count_if(bad).alias(f"n{i}") for i, bad in enumerate(terms.values())])
+
+    def report(self) -> DataFrame:
+        """Rows (column, check, n); waits for the first action on the watched table."""
+        if self._copies is None:
+            raise ValueError("the watch is not attached to a table")
+        id, copies = self._copies
+        counts = self._observation.get
+        rows = [(name, check, counts[f"n{i}"]) for i, (name, check) in enumerate(self._names)]
+        rows.append((id, "duplicate_ids", copies.count()))
+        return copies.sparkSession.createDataFrame(rows, "column string, check string, n bigint")
+
+
 def preprocess(
     df: DataFrame,
     contract: Mapping[str, list],
@@ -249,12 +288,14 @@ def preprocess(
     label: str | None = v.LABEL,
     means: Mapping[str, float | None] | None = None,
     keep_order: str | None = None,
+    watch: QualityWatch | None = None,
 ) -> tuple[DataFrame, dict[str, list[str]], dict[str, float | None]]:
     """Clean the unified table; returns it with its column groups and the means it used.
 
     `order_key` (best unique and never null) says which rows come first; it is dropped unless the
     contract lists it, and `keep_order` names a column to keep its values in. The means
-    are those of this table (before the filters) unless `means` brings others.
+    are those of this table (before the filters) unless `means` brings others. With a `watch`
+    the pass over the rows counts their flaws, too.
     """
     problems = contracts.check_contract(contract, label or v.LABEL)
     if problems:
@@ -267,11 +308,13 @@ def preprocess(
     scores = groups.get(v.GROUP_SCORES, [])
     days = groups.get(v.GROUP_DAYS, [])
     averaged = [c for c in floats if c not in scores]
-    firsts = first_of_copies(df, index, order_key)
-    df = drop_copies(df, firsts, index, order_key)
+    given, firsts = df, first_of_copies(df, index, order_key)
+    df = drop_copies(given, firsts, index, order_key)
     if means is None:
         # Reads the columns that need a mean and the two that tell copies apart.
         means = float_means(cast_to_contract(df, {c: narrowed[c] for c in averaged}), averaged)
+    if watch is not None:
+        df = drop_copies(watch.attach(given, narrowed, index, label, statuses, firsts), firsts, index, order_key)
     if keep_order is not None:
         df = df.withColumn(keep_order, F.col(order_key))
     if order_key not in contract:

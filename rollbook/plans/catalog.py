@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from rollbook import vocabulary as v
 from rollbook.functions.ordering import cut_lineage, use_checkpoint_dir
 from rollbook.operators import (
-    attribution, calibration, cleaning, curves, encoding, explanation, model, sampling, sequence, thresholds, yearly,
+    attribution, calibration, cleaning, curves, encoding, estimator, explanation, model, sampling, sequence, thresholds, yearly,
 )
 from rollbook.plans import catalog_data as data
 from rollbook.plans.explaining import explain
@@ -273,6 +274,28 @@ def quality_report(spark, folder):
     return cleaning.quality_report(orders, rules, "studentid", "target", known)
 
 
+@query
+def quality_while_cleaning(spark, folder):
+    """The counts of a quality report from the pass that writes the cleaned rows."""
+    orders = data.table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("studentid"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("target"),
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("6_1"),
+        F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("price"),
+        F.col("o_orderkey").alias("arrival"),
+    )
+    rules = {
+        "studentid": ["string", "customer"],
+        "target": ["int", "label"],
+        "6_1": ["string", "day", "all_attendances"],
+        "price": ["float", "price", "money"],
+    }
+    watch = cleaning.QualityWatch()
+    clean, _, _ = cleaning.preprocess(orders, rules, {"1-URGENT": "p", "2-HIGH": "p"}, "arrival", watch=watch)
+    clean.write.parquet(_scratch(spark))
+    return watch.report()
+
+
 def _student():
     """One student per customer and year."""
     return F.concat_ws("-", *[F.col(c).cast("string") for c in data.ENROLMENT])
@@ -740,6 +763,27 @@ def model_checks(spark, folder):
     )
 
 
+@query
+def stump_score(spark, folder):
+    """A pipeline with one tree of one split, fitted, saved, loaded and applied: scores, calibration and threshold by number."""
+    orders = data.table(spark, folder, "orders")
+    rows = cut_lineage(
+        orders.select(
+            F.col("o_orderkey").alias("id"),
+            (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+            ((F.col("o_totalprice") > 250000) & (F.col("o_orderstatus") != "O")).cast("double").alias("large"),
+            (F.col("o_orderkey") % 10 >= 7).alias("validation"),
+        )
+    )
+    stump = estimator.EarlyWarningClassifier(
+        numerical=["large"], labelCol="label", idCol="id", treeParams={"maxIter": 1, "maxDepth": 1, "seed": 1}
+    )
+    path = _scratch(spark)
+    Pipeline(stages=[stump]).fit(rows).write().save(path)
+    scored = PipelineModel.load(path).transform(rows)
+    return scored.select("id", "label", *[F.round(c, 9).alias(c) for c in (v.PROBA_0, v.PROBA_1)], v.PREDICTION)
+
+
 @query
 def attribution_checks(spark, folder):
     """Attributions and base value of each row sum to the trees' margin."""

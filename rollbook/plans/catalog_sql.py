@@ -429,6 +429,36 @@ SELECT user_id, 1::INTEGER AS month, d::INTEGER AS day, max(CASE WHEN event_type
 FROM events CROSS JOIN range(1, 32) AS r(d) GROUP BY ALL""",
     "seq_from_wide": "WITH" + _EVENT_DAYS + """
 SELECT id AS user_id, string_agg(CASE WHEN month = 1 AND status = 'p' THEN 'p' ELSE 'm' END, '' ORDER BY pos) AS days FROM dense GROUP BY id""",
+    "quality_while_cleaning": """
+WITH given AS (
+  SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS target, nullif(o_orderpriority, '5-LOW') AS day,
+         CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price FROM orders),
+copies AS (SELECT o_custkey FROM given GROUP BY 1 HAVING count(*) > 1)
+SELECT 'studentid' AS column, 'null' AS check, count(*) FILTER (o_custkey IS NULL) AS n FROM given
+UNION ALL SELECT 'studentid', 'duplicate_ids', count(*) FROM copies
+UNION ALL SELECT 'target', 'null', count(*) FILTER (target IS NULL) FROM given
+UNION ALL SELECT 'target', 'bad_cast', count(*) FILTER (target IS NOT NULL AND try_cast(target AS BIGINT) IS NULL) FROM given
+UNION ALL SELECT 'target', 'bad_label', count(*) FILTER (target NOT IN (0, 1)) FROM given
+UNION ALL SELECT '6_1', 'null', count(*) FILTER (day IS NULL) FROM given
+UNION ALL SELECT '6_1', 'unknown_status', count(*) FILTER (day NOT IN ('1-URGENT', '2-HIGH')) FROM given
+UNION ALL SELECT 'price', 'null', count(*) FILTER (price IS NULL) FROM given
+UNION ALL SELECT 'price', 'bad_cast', count(*) FILTER (price IS NOT NULL AND try_cast(price AS DOUBLE) IS NULL) FROM given""",
+    # Two leaves, at most two bins with knots; bins out of order are pooled with equal weight.
+    "stump_score": """
+WITH given AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+         CASE WHEN o_totalprice > 250000 AND o_orderstatus <> 'O' THEN 1 ELSE 0 END AS large, o_orderkey % 10 >= 7 AS held FROM orders),
+leaves AS (SELECT large, 1 / (1 + exp(-2 * avg(2 * label - 1))) AS p FROM given WHERE NOT held GROUP BY large),
+bins AS (
+  SELECT ceil(p * 20) AS bin, avg(p) AS mean_score, avg(label) AS rate FROM given JOIN leaves USING (large) WHERE held GROUP BY 1),
+pool AS (SELECT *, max_by(rate, mean_score) OVER () < min_by(rate, mean_score) OVER () AS mixed, avg(rate) OVER () AS pooled FROM bins),
+calibrated AS (SELECT large, CASE WHEN mixed THEN pooled ELSE rate END AS p1 FROM leaves JOIN pool ON ceil(leaves.p * 20) = bin),
+held AS (SELECT p1, count(*) AS n, sum(label) AS pos FROM given JOIN calibrated USING (large) WHERE held GROUP BY p1),
+points AS (
+  SELECT p1, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) OVER w / sum(pos) OVER () AS recall FROM held WINDOW w AS (ORDER BY p1 DESC)),
+best AS (SELECT p1 AS threshold FROM points ORDER BY 2 * precision * recall / (precision + recall + 1e-8) DESC, p1 LIMIT 1)
+SELECT id, label::INTEGER AS label, round(1 - p1, 9) AS preds_proba_0, round(p1, 9) AS preds_proba_1, (p1 >= threshold)::INTEGER AS preds
+FROM given JOIN calibrated USING (large), best""",
     "score_table": "WITH" + _scored(3) + " SELECT *, lead(n) OVER w AS next_n, lead(pos) OVER w AS next_pos FROM ranked WINDOW w AS (ORDER BY place)",
     "pr_curve": "WITH" + _scored() + " SELECT threshold, precision, recall FROM curve UNION ALL SELECT NULL, 1.0, 0.0",
     "roc_curve": "WITH" + _scored() + """

@@ -8,7 +8,7 @@ from rollbook.functions.ordering import cut_lineage
 from rollbook.operators import cleaning, sequence
 from rollbook.operators.model import EwsModel
 from rollbook.plans.training import DataSettings, Run, score_splits, write_run
-from rollbook.sources.contract import fingerprint, one_year
+from rollbook.sources.contract import check_input, fingerprint, one_year
 
 
 def infer(
@@ -35,9 +35,7 @@ def infer(
         clean, holidays, data.acad_year, data.sequences, data.drop, groups, data.index, label, dates,
         fitted.valid_days if data.share_valid_days else None,
     )
-    missing = sorted(set(fitted.features) - set(features.columns))
-    if missing:
-        raise ValueError(f"the table lacks features of the model: {missing}")
+    check_input(features, fitted.features)
     scored = {name: cut_lineage(fitted.transform(features))}
     run = score_splits(fitted, scored, data.label, data.index)
     if path is not None:

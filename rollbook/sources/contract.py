@@ -60,6 +60,13 @@ def fingerprint(contract: Mapping[str, list]) -> str:
     return hashlib.sha256(json.dumps(rules).encode()).hexdigest()
 
 
+def check_input(df: DataFrame, needed: Iterable[str]) -> None:
+    """Stop if columns are missing."""
+    missing = sorted(set(needed) - set(df.columns))
+    if missing:
+        raise ValueError(f"the table lacks features of the model: {missing}")
+
+
 def contract_schema(contract: Mapping[str, list]) -> T.StructType:
     """The contract as a Spark schema; description and group travel as field metadata."""
     fields = []

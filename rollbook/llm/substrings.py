@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, n_words
@@ -16,6 +16,10 @@ from .common import chunks, n_words
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the half-length hashes that travel: chance collisions only bring candidates that the full length refuses.
 _HALF_BITS = np.uint64(16)
+#: An anchor in this share of a sample's places counts as frequent; no more than its inverse are listed, whatever the input.
+_FREQUENT = 0.002
+#: Parts into which the rows of what a frequent anchor marks are split where they meet.
+_PARTS = 64
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,63 +111,120 @@ def _split_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(firsts, keys, "left_semi").select(*rows.columns), rows.join(firsts, keys, "left_anti").select(*rows.columns)
 
 
-def repeated_windows(base: DataFrame, window: int) -> DataFrame:
+def _anchors(batches: Iterator[pa.RecordBatch], keys: list[str], window: int) -> Iterator[pa.RecordBatch]:
+    """Each text's anchors: hash `h` once a text, and in how many places (`c`). The text follows the keys."""
+    for part in chunks(batches):
+        w = Windows(part.column(len(keys)).to_pylist(), window)
+        first, _ = w.runs()
+        row, h = w.row[first], w.half[w.anchor[first]] >> _HALF_BITS
+        by = np.lexsort((h, row))
+        row, h = row[by], h[by]
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(row) != 0) | (h[1:] != h[:-1])
+        at = np.flatnonzero(new)
+        yield _keyed(part, keys, row[at], {"h": _signed(h[at]), "c": pa.array(np.diff(np.append(at, len(row))))})
+
+
+def frequent_anchors(docs: DataFrame, window: int, sample: float = 0.02) -> list[int]:
+    """Anchors that are frequent in a sample of the texts, at most 500.
+
+    They only say which rows are split where equal hashes meet; results do not depend on them.
+    """
+    texts = docs.select(F.lit(0).cast("long").alias("d"), "text").sample(sample, seed=1)
+    found = texts.mapInArrow(lambda batches: _anchors(batches, ["d"], window), _schema(["d"], "h", "c"))
+    return list(found.stat.freqItems(["h"], _FREQUENT).first()[0])
+
+
+def _spread(*by: str) -> Column:
+    """A number below zero for each row, by which it meets no other."""
+    return F.lit(-1).cast("long") - F.shiftrightunsigned(F.xxhash64(*by), 16)
+
+
+def _repeated_or(rows: DataFrame, mark: Column, counts: Column, *by: str) -> DataFrame:
+    """Rows whose `h` is counted twice or more, or marked. Marked rows are kept without meeting others, so none is a hot key."""
+    again = rows.filter(~mark).groupBy("h").agg(counts.alias("c")).filter("c > 1").select(F.col("h").alias("k"), F.col("h").alias("m"))
+    # Hashes of half length are no less than zero.
+    keyed = rows.withColumn("k", F.when(mark, _spread(*by)).otherwise(F.col("h")))
+    return keyed.join(again, "k", "left").filter(mark | F.col("m").isNotNull()).drop("k", "m")
+
+
+def _in_parts(firsts: DataFrame, mark: Column) -> DataFrame:
+    """Rows with a `salt`: marked ones once for each part."""
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))
+    return firsts.withColumn("salt", F.explode(F.when(mark, parts).otherwise(F.array(F.lit(0).cast("long")))))
+
+
+def repeated_windows(base: DataFrame, window: int, frequent: list[int] | None = None) -> DataFrame:
     """Runs of windows (keys, start, n) whose words also start earlier, by key and place. `base`: keys, none of them null, and text.
 
-    1. Half length: each text gives its anchors; anchors that occur once are dropped (about a sixth of all places is
-       counted, and every repeated window holds a repeated anchor).
+    1. Half length: each text gives its anchors, each once; anchors that occur once are dropped (about a sixth of all
+       places is counted, and every repeated window holds a repeated anchor).
     2. Full length, in runs: windows around a surviving anchor, taken together as long as they share it. A run whose
-       words are the same as an earlier run's is repeated as a whole.
+       words are the same as an earlier run's is repeated as a whole; inside one text that is seen at once.
     3. Full length, singly: where different runs share an anchor their first occurrences are compared window by window.
+
+    Anchors listed as `frequent` are taken for repeated without a count, which the full length makes good, and what they
+    mark meets in parts.
     """
     keys = base.columns[:-1]
     text = len(keys)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            w = Windows(part.column(text).to_pylist(), window)
-            first, _ = w.runs()
-            row, at = w.row[first], w.anchor[first]
-            yield _keyed(part, keys, row, {"h": _signed(w.half[at] >> _HALF_BITS), "place": pa.array(at - w.start[row])})
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             w = Windows(part.column(text).to_pylist(), window)
             mark = np.zeros(len(w.half) + 1, bool)
-            for start, places in zip(w.start, part.column(text + 1)):
-                mark[start + np.asarray(places.values)] = True
+            for start, stop, alive in zip(w.start, w.stop, part.column(text + 1)):
+                here = w.half[start:stop] >> _HALF_BITS
+                mark[start : start + len(here)] = np.isin(here, np.asarray(alive.values).view(np.uint64))
             first, n = w.runs(mark[w.anchor])
             row, at = w.row[first], w.at[first]
             whole = _mix(_mix(w.full[at], w.full[at + n - 1]), n.astype(np.uint64))
-            columns = {"h": _signed(w.half[w.anchor[first]] >> _HALF_BITS), "r": _signed(whole), "start": pa.array(at - w.start[row]), "n": pa.array(n)}
+            by = np.lexsort((at, whole, row))
+            later = np.zeros(len(row), np.int64)
+            later[by[1:]] = (np.diff(row[by]) == 0) & (whole[by][1:] == whole[by][:-1])
+            columns = {
+                "h": _signed(w.half[w.anchor[first]] >> _HALF_BITS), "r": _signed(whole), "start": pa.array(at - w.start[row]),
+                "n": pa.array(n), "later": pa.array(later),
+            }
             yield _keyed(part, keys, row, columns)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             w = Windows(part.column(text).to_pylist(), window)
-            rows, at = [], []
-            for i, (starts, ns) in enumerate(zip(part.column(text + 1), part.column(text + 2))):
-                for a, k in zip(starts.as_py(), ns.as_py()):
+            rows, at, hot = [], [], []
+            for i, places in enumerate(zip(*[part.column(text + k) for k in (1, 2, 3)])):
+                for a, k, z in zip(*[p.as_py() for p in places]):
                     rows += [i] * k
                     at += range(a, a + k)
+                    hot += [z] * k
             rows, at = np.array(rows, np.int64), np.array(at, np.int64)
-            yield _keyed(part, keys, rows, {"h": _signed(w.full[w.start[rows] + at]), "start": pa.array(at)})
+            yield _keyed(part, keys, rows, {"h": _signed(w.full[w.start[rows] + at]), "start": pa.array(at), "hot": pa.array(hot, pa.int64())})
 
-    half = base.mapInArrow(anchors, _schema(keys, "h", "place"))
-    again = half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    alive = half.join(again, "h")
+    hot = F.col("h").isin(frequent) if frequent else F.lit(False)
+    own_part = F.pmod(F.xxhash64(*keys), F.lit(_PARTS).cast("long"))
+    zero = F.lit(0).cast("long")
 
-    found = _with_places(base, alive, ["place"]).mapInArrow(runs, _schema(keys, "h", "r", "start", "n"))
-    order = F.struct(*keys, "start")
-    earliest = found.groupBy("r").agg(F.min(order).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"))
-    copies = found.select(*keys, "start", "n", "r").join(earliest.select("r", "first"), "r").filter(order > F.col("first")).select(*keys, "start", "n")
+    half = base.mapInArrow(lambda batches: _anchors(batches, keys, window), _schema(keys, "h", "c"))
+    alive = _repeated_or(half, hot, F.sum("c"), *keys, "h")
 
-    several = earliest.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    edges = earliest.join(several, "h").select("first.*", "n")
-    single = _with_places(base, edges, ["start", "n"]).mapInArrow(singles, _schema(keys, "h", "start"))
-    before = single.groupBy("h").agg(F.min(order).alias("first"))
-    late = single.join(before, "h").filter(order > F.col("first")).select(*keys, "start", F.lit(1).cast("long").alias("n"))
-    return copies.unionAll(late)
+    found = _with_places(base, alive, ["h"]).mapInArrow(runs, _schema(keys, "h", "r", "start", "n", "later"))
+    order = F.struct(*keys, "start")
+    later = F.col("later") == 1
+    earliest = found.filter(~later).groupBy("r").agg(F.min(order).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"))
+    salt = F.when(later, _spread(*keys, "start")).when(hot, own_part).otherwise(zero)
+    met = found.select(*keys, "start", "n", "r", "later", salt.alias("salt")).join(
+        _in_parts(earliest, hot).select("r", "salt", "first"), ["r", "salt"], "left"
+    )
+    copies = met.filter(later | (order > F.col("first"))).select(*keys, "start", "n")
+
+    edges = _repeated_or(earliest, hot, F.count("*"), "r").select("first.*", "n", hot.cast("long").alias("hot"))
+    single = _with_places(base, edges, ["start", "n", "hot"]).mapInArrow(singles, _schema(keys, "h", "start", "hot"))
+    # A window's words fix its anchor, so equal windows are marked alike.
+    marked = F.col("hot") == 1
+    before = single.groupBy("h").agg(F.min(order).alias("first"), F.max("hot").alias("hot"))
+    parted = single.select(*keys, "h", "start", F.when(marked, own_part).otherwise(zero).alias("salt"))
+    late = parted.join(_in_parts(before, marked).select("h", "salt", "first"), ["h", "salt"]).filter(order > F.col("first"))
+    return copies.unionAll(late.select(*keys, "start", F.lit(1).cast("long").alias("n")))
 
 
 def without_repeats(words: list[bytes], starts: np.ndarray, ns: np.ndarray, window: int) -> tuple[int, bytes]:
@@ -175,14 +236,16 @@ def without_repeats(words: list[bytes], starts: np.ndarray, ns: np.ndarray, wind
     return int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False, sample: float = 0.02) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row, and with `texts` the kept words as `kept`.
 
     A word goes if a window of `window` (even) words over it starts earlier too: in a row with a smaller id, or further
     up in the same text. Null ids come before all others; of rows with the same id, those with other texts follow in an
     order of their own, and rows equal in id and text are one document, all of which return the same. Null and empty
     texts have no words. An empty table gives an empty result; extra columns are ignored. Whole texts are used. Of
-    equal texts only the first is searched. Texts are shuffled once; frequent passages meet in counts and minima, and joins on them can be split.
+    equal texts only the first is searched. Texts are shuffled once; frequent passages meet in counts and minima. Which
+    passages are frequent is read from a share (`sample`) of the texts: their rows are then joined in parts. The result
+    is the same for any sample.
     """
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
@@ -194,7 +257,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, texts: bool = False) ->
     more = [F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t")] if shared else []
     base, copies = _split_copies(docs.select(*mark, F.coalesce(one, F.lit(0)).alias("d"), *more, docs["text"]))
     at = len(base.columns) - 1
-    gone = _with_places(base, repeated_windows(base, window), ["start", "n"], "left")
+    gone = _with_places(base, repeated_windows(base, window, frequent_anchors(docs, window, sample)), ["start", "n"], "left")
     runs = n_words("text") - window + 1
     entry = lambda c: F.when(runs > 0, F.array(c.cast("long")))
     gone = gone.unionAll(copies.select("*", entry(F.lit(0)).alias("start"), entry(runs).alias("n")))

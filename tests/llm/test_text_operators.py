@@ -160,25 +160,45 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in neardup.components(edges).collect() if r.node < 100} == {0}
 
 
-def test_substrings(docs, odd):
-    for df in (docs.orderBy("doc_id"), None):
-        if df is None:
-            continue
-        seen, want = set(), {}
-        for r in df.collect():
-            words, gone = (r.text or "").encode().split(), set()
-            for i in range(len(words) - 19):
-                key = tuple(words[i : i + 20])
-                if key in seen:
-                    gone.update(range(i, i + 20))
-                seen.add(key)
-            kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
-            want[r.doc_id] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
-        assert {r.doc_id: tuple(r)[1:4] for r in substrings.dedup_substrings(docs).collect()} == want
-    got = collections.Counter((r.doc_id, r.n_removed) for r in substrings.dedup_substrings(odd).collect())
+def brute_substrings(rows):
+    """doc_id to number of words, words removed and hash of the kept ones, of rows with ids of their own."""
+    seen, want = set(), {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        words, gone = (r.text or "").encode().split(), set()
+        for i in range(len(words) - 19):
+            key = tuple(words[i : i + 20])
+            if key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        want[r.doc_id] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("sample", [0.0, 0.02, 1.0])
+def test_substrings(docs, odd, sample):
+    got = substrings.dedup_substrings(docs, sample=sample).collect()
+    assert {r.doc_id: tuple(r)[1:4] for r in got} == brute_substrings(docs.collect())
+    got = collections.Counter((r.doc_id, r.n_removed) for r in substrings.dedup_substrings(odd, sample=sample).collect())
     assert got[(1, 60)] == 2 and got[(None, 0)] == 1 and got[(2, 60)] == 1 and got[(6, 29_999)] == 1
 
 
+@pytest.mark.parametrize("sample", [0.0, 1.0])
+def test_substrings_of_a_hot_passage(spark, sample):
+    """One passage in every other text, between words of their own or one repeated word."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(0, 30))) for _ in range(2)]
+        middle = (PASSAGE, "same " * int(rng.integers(15, 60)), " ".join(PASSAGE.split()[7:]), own[0])[i % 4]
+        rows.append((i, " ".join([own[0], middle, own[1], middle if i % 3 else ""])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    frequent = substrings.frequent_anchors(docs, 20, sample)
+    assert len(frequent) <= 500 and bool(frequent) == bool(sample)
+    got = substrings.dedup_substrings(docs, sample=sample).collect()
+    assert {r.doc_id: tuple(r)[1:4] for r in got} == brute_substrings(docs.collect())
+
+
 def test_decontamination(spark, docs, odd, items):
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, items).collect()}
     assert found == {(1, 1), (2, 1), (None, 1)}

@@ -143,9 +143,10 @@ def _spread(*by: str) -> Column:
 def _repeated_or(rows: DataFrame, mark: Column, counts: Column, *by: str) -> DataFrame:
     """Rows whose `h` is counted twice or more, or marked. Marked rows are kept without meeting others, so none is a hot key."""
     again = rows.filter(~mark).groupBy("h").agg(counts.alias("c")).filter("c > 1").select(F.col("h").alias("k"), F.col("h").alias("m"))
-    # Hashes of half length are no less than zero.
-    keyed = rows.withColumn("k", F.when(mark, _spread(*by)).otherwise(F.col("h")))
-    return keyed.join(again, "k", "left").filter(mark | F.col("m").isNotNull()).drop("k", "m")
+    # Hashes of half length are no less than zero. Only marked rows carry theirs beside the key.
+    keyed = rows.withColumns({"k": F.when(mark, _spread(*by)).otherwise(F.col("h")), "own": F.when(mark, F.col("h"))}).drop("h")
+    met = keyed.join(again, "k", "left").filter(F.col("own").isNotNull() | F.col("m").isNotNull())
+    return met.withColumn("h", F.coalesce("own", "k")).drop("k", "m", "own")
 
 
 def _in_parts(firsts: DataFrame, mark: Column) -> DataFrame:

@@ -684,6 +684,17 @@ def tree_shap_fixed(spark, folder):
     )
 
 
+@query
+def tree_shap_deep(spark, folder):
+    """Three features, one of them tested again and again on one way."""
+    tree = attribution.tree_of(data.DEEP_TREE, 0.7)[0]
+    rows = data.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *data.DEEP_FEATURES.values())
+    explained = attribution.tree_shap(rows, [tree], {name: F.col(c) for name, c in data.DEEP_FEATURES.items()})
+    return explained.select(
+        "l_orderkey", "l_linenumber", "l_partkey", *[(F.round(f"shap.{name}", 9) + 0.0).alias(name) for name in data.DEEP_FEATURES]
+    )
+
+
 # --- model -------------------------------------------------------------------
 
 _PARAMS = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "balanced": True}
@@ -763,18 +774,28 @@ def model_checks(spark, folder):
     )
 
 
-@query
-def stump_score(spark, folder):
-    """A pipeline with one tree of one split, fitted, saved, loaded and applied: scores, calibration and threshold by number."""
-    orders = data.table(spark, folder, "orders")
-    rows = cut_lineage(
-        orders.select(
+def _stump_rows(spark, folder):
+    """Orders with features of two values, so that a tree on one of them is one split that SQL can follow."""
+    return cut_lineage(
+        data.table(spark, folder, "orders").select(
             F.col("o_orderkey").alias("id"),
             (F.col("o_orderstatus") == "F").cast("int").alias("label"),
             ((F.col("o_totalprice") > 250000) & (F.col("o_orderstatus") != "O")).cast("double").alias("large"),
+            (F.col("o_orderstatus") != "O").cast("double").alias("closed"),
             (F.col("o_orderkey") % 10 >= 7).alias("validation"),
         )
     )
+
+
+def _stump_parts(spark, folder):
+    rows = _stump_rows(spark, folder)
+    return [rows.filter(part).drop("validation") for part in (~F.col("validation"), F.col("validation"))]
+
+
+@query
+def stump_score(spark, folder):
+    """A pipeline with one tree of one split, fitted, saved, loaded and applied: scores, calibration and threshold by number."""
+    rows = _stump_rows(spark, folder)
     stump = estimator.EarlyWarningClassifier(
         numerical=["large"], labelCol="label", idCol="id", treeParams={"maxIter": 1, "maxDepth": 1, "seed": 1}
     )
@@ -784,6 +805,36 @@ def stump_score(spark, folder):
     return scored.select("id", "label", *[F.round(c, 9).alias(c) for c in (v.PROBA_0, v.PROBA_1)], v.PREDICTION)
 
 
+@query
+def stump_losses(spark, folder):
+    """Losses after each of three boosted splits, fitted with class weights."""
+    train, val = _stump_parts(spark, folder)
+    params = {"maxIter": 3, "maxDepth": 1, "stepSize": 0.3, "seed": 1, "validationTol": 0.0, "balanced": True}
+    fitted = model.fit_classifier(train, val, "label", [], ["closed"], params)
+    losses = model.loss_table(fitted, train, val, "label")
+    return losses.select("iteration", *[F.round(c, 9).alias(c) for c in ("trn", "val")])
+
+
+@query
+def stump_search(spark, folder):
+    """The log of a search whose spaces hold one value each: what is drawn, what is not, and the area that decides."""
+    train, val = _stump_parts(spark, folder)
+    only = {"low": 0.3, "high": 0.3}
+    tune = {
+        "independent": {
+            "maxDepth": {"dtype": "int", "tuning_space": {"low": 1, "high": 1}},
+            "impurity": {"dtype": "categorical", "tuning_space": {"choices": ["variance"]}},
+        },
+        "dependent": {
+            "stepSize": {"dependent_on_param": "impurity", "dependent_on_value": ["variance"], "dtype": "float", "tuning_space": only},
+            "subsamplingRate": {"dependent_on_param": "impurity", "dependent_on_value": ["other"], "dtype": "float", "tuning_space": only},
+        },
+    }
+    log = model.random_search(train, val, "label", [], ["large"], {"maxIter": 1, "seed": 1}, tune, 2, seed=1)[1]
+    drawn = [F.col("params")[p].alias(p) for p in ("maxIter", "maxDepth", "impurity", "stepSize", "subsamplingRate")]
+    return log.select("trial", *drawn, F.round("score", 9).alias("score"))
+
+
 @query
 def attribution_checks(spark, folder):
     """Attributions and base value of each row sum to the trees' margin."""

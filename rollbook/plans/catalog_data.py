@@ -14,6 +14,15 @@ ENROLMENT = ["o_custkey", "year"]
 # Which event types mean what; `signup` is left out on purpose and passes through.
 EVENT_MEANING = {"present": ["click", "view", "purchase"], "absent": ["error"], "missing": ["nan"]}
 
+# A fixed tree of depth four over (quantity, discount, tax), with quantity tested up to three times on one way.
+DEEP_FEATURES = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
+_INNER = [(0, 200, 1, 2, 0, 25.0), (1, 90, 3, 4, 1, 0.05), (2, 110, 5, 6, 2, 0.04), (3, 50, 7, 8, 0, 10.0), (5, 70, 9, 10, 1, 0.03), (7, 20, 11, 12, 0, 4.0), (9, 30, 13, 14, 0, 40.0)]
+_LEAVES = [(4, 40, 1.5), (6, 40, -2.0), (8, 30, 0.5), (10, 40, 3.0), (11, 5, -1.0), (12, 15, 2.0), (13, 12, 0.25), (14, 18, -0.75)]
+DEEP_TREE = [
+    *[dict(id=i, prediction=0.0, cover=float(c), left=a, right=b, feature=f, threshold=t) for i, c, a, b, f, t in _INNER],
+    *[dict(id=i, prediction=p, cover=float(c), left=-1, right=-1, feature=-1, threshold=None) for i, c, p in _LEAVES],
+]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -6,6 +6,10 @@ every position, overlaps are counted by comparing substrings, curves use plain w
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from rollbook.plans.catalog_data import DEEP_FEATURES, DEEP_TREE
+
 # One character per date of the academic year, June to May, 31 positions a month.
 _POSITIONS = """
 positions AS (
@@ -309,6 +313,66 @@ sizes AS (
 )
 """
 
+# Features of two values: a tree of one split gives each of them a number.
+_STUMP = """ given AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+         CASE WHEN o_totalprice > 250000 AND o_orderstatus <> 'O' THEN 1 ELSE 0 END AS large,
+         CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END AS closed, o_orderkey % 10 >= 7 AS held FROM orders),
+leaves AS (SELECT large, 1 / (1 + exp(-2 * avg(2 * label - 1))) AS p FROM given WHERE NOT held GROUP BY large)"""
+
+
+def _stump_losses(steps: int, rate: float) -> str:
+    """Weighted rows by value, part and sign; each step moves a value's margin by the mean of 4s / (1 + exp(2sf))."""
+    boosted = "".join(
+        f""",
+f{i} AS (
+  SELECT closed, any_value(f) + {rate}::DOUBLE * sum(w * 4 * s / (1 + exp(2 * s * f))) / sum(w) AS f
+  FROM cells JOIN f{i - 1} USING (closed) WHERE NOT held GROUP BY closed)"""
+        for i in range(1, steps)
+    )
+    loss = "sum(w * 2 * ln(1 + exp(-2 * s * f))) FILTER ({part}) / sum(w) FILTER ({part})"
+    rows = " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS iteration, round({loss.format(part='NOT held')}, 9) AS trn, round({loss.format(part='held')}, 9) AS val"
+        f" FROM cells JOIN f{i} USING (closed)"
+        for i in range(steps)
+    )
+    return f"""WITH{_STUMP},
+counts AS (SELECT label, count(*) AS n FROM given WHERE NOT held GROUP BY label),
+weights AS (SELECT label, (SELECT max(n) FROM counts) / n::DOUBLE AS w FROM counts),
+cells AS (SELECT closed, held, 2 * label - 1 AS s, sum(w) AS w FROM given JOIN weights USING (label) GROUP BY ALL),
+f0 AS (SELECT closed, sum(w * s) / sum(w) AS f FROM cells WHERE NOT held GROUP BY closed){boosted}
+{rows}"""
+
+
+def _tree_value(known: tuple[str, ...], i: int = 0) -> str:
+    """What the fixed deep tree says if only the `known` features are: other tests are averaged by cover."""
+    nodes = {n["id"]: n for n in DEEP_TREE}
+    node, names = nodes[i], list(DEEP_FEATURES)
+    if node["left"] < 0:
+        return f"{node['prediction']}::DOUBLE"
+    low, high = _tree_value(known, node["left"]), _tree_value(known, node["right"])
+    if (name := names[node["feature"]]) in known:
+        return f"CASE WHEN {DEEP_FEATURES[name]} <= {node['threshold']}::DOUBLE THEN {low} ELSE {high} END"
+    share = nodes[node["left"]]["cover"] / node["cover"]
+    return f"({share!r}::DOUBLE * {low} + {1 - share!r}::DOUBLE * {high})"
+
+
+def _shapley(weight: float) -> str:
+    """Mean over all orders of three features of the difference that each makes."""
+    names = list(DEEP_FEATURES)
+    subsets = [s for k in range(4) for s in combinations(names, k)]
+    values = ", ".join(f"{_tree_value(s)} AS {'_'.join(('v', *s))}" for s in subsets)
+    terms = {
+        name: " + ".join(
+            f"(v_{'_'.join(sorted((*s, name), key=names.index))} - {'_'.join(('v', *s))}) / {6 if len(s) == 1 else 3}"
+            for s in subsets if name not in s
+        )
+        for name in names
+    }
+    numbers = ", ".join(f"round({weight}::DOUBLE * ({t}), 9) + 0.0::DOUBLE AS {name}" for name, t in terms.items())
+    return f"WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, {values} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, {numbers} FROM v"
+
+
 SQL: dict[str, str] = {
     "year_and_grade": """
 WITH y AS (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 6 THEN 1 ELSE 0 END AS y FROM orders),
@@ -444,11 +508,7 @@ UNION ALL SELECT '6_1', 'unknown_status', count(*) FILTER (day NOT IN ('1-URGENT
 UNION ALL SELECT 'price', 'null', count(*) FILTER (price IS NULL) FROM given
 UNION ALL SELECT 'price', 'bad_cast', count(*) FILTER (price IS NOT NULL AND try_cast(price AS DOUBLE) IS NULL) FROM given""",
     # Two leaves, at most two bins with knots; bins out of order are pooled with equal weight.
-    "stump_score": """
-WITH given AS (
-  SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
-         CASE WHEN o_totalprice > 250000 AND o_orderstatus <> 'O' THEN 1 ELSE 0 END AS large, o_orderkey % 10 >= 7 AS held FROM orders),
-leaves AS (SELECT large, 1 / (1 + exp(-2 * avg(2 * label - 1))) AS p FROM given WHERE NOT held GROUP BY large),
+    "stump_score": "WITH" + _STUMP + """,
 bins AS (
   SELECT ceil(p * 20) AS bin, avg(p) AS mean_score, avg(label) AS rate FROM given JOIN leaves USING (large) WHERE held GROUP BY 1),
 pool AS (SELECT *, max_by(rate, mean_score) OVER () < min_by(rate, mean_score) OVER () AS mixed, avg(rate) OVER () AS pooled FROM bins),
@@ -459,6 +519,15 @@ points AS (
 best AS (SELECT p1 AS threshold FROM points ORDER BY 2 * precision * recall / (precision + recall + 1e-8) DESC, p1 LIMIT 1)
 SELECT id, label::INTEGER AS label, round(1 - p1, 9) AS preds_proba_0, round(p1, 9) AS preds_proba_1, (p1 >= threshold)::INTEGER AS preds
 FROM given JOIN calibrated USING (large), best""",
+    "stump_losses": _stump_losses(3, 0.3),
+    "stump_search": "WITH" + _STUMP + """,
+held AS (SELECT p, count(*) AS n, sum(label) AS pos FROM given JOIN leaves USING (large) WHERE held GROUP BY p),
+points AS (
+  SELECT p, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) OVER w / sum(pos) OVER () AS recall FROM held WINDOW w AS (ORDER BY p DESC)),
+steps AS (SELECT recall - lag(recall, 1, 0) OVER w AS dx, precision + lag(precision, 1, 1) OVER w AS y FROM points WINDOW w AS (ORDER BY p DESC))
+SELECT trial::INTEGER AS trial, '1' AS "maxIter", '1' AS "maxDepth", 'variance' AS impurity, '0.3' AS "stepSize", NULL::VARCHAR AS "subsamplingRate",
+       (SELECT round(sum(dx * y / 2), 9) FROM steps) AS score FROM range(2) AS t(trial)""",
+    "tree_shap_deep": _shapley(0.7),
     "score_table": "WITH" + _scored(3) + " SELECT *, lead(n) OVER w AS next_n, lead(pos) OVER w AS next_pos FROM ranked WINDOW w AS (ORDER BY place)",
     "pr_curve": "WITH" + _scored() + " SELECT threshold, precision, recall FROM curve UNION ALL SELECT NULL, 1.0, 0.0",
     "roc_curve": "WITH" + _scored() + """

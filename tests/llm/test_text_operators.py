@@ -160,6 +160,38 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in neardup.components(edges).collect() if r.node < 100} == {0}
 
 
+def brute_personal_data(text):
+    """Numbers of base spans by kind and the hash of all, from plain patterns and checks."""
+    import re
+
+    def luhn(span):
+        digits = [int(c) for c in span if c.isdigit()][::-1]
+        return sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+
+    def n_digits(span):
+        return sum(c in "0123456789" for c in span)
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= n_digits(m) <= 19 and luhn(m) % 10 == 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= n_digits(m) <= 15),
+    }
+    found = [(k, m.start(), m.end()) for k, (p, holds) in kinds.items() for m in re.finditer(p, text or "") if holds(m.group())]
+    counts = collections.Counter(k for k, _, _ in found)
+    return (*[counts[k] for k in kinds], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest())
+
+
+def test_personal_data_against_plain_patterns(spark, docs, odd):
+    rng = np.random.default_rng(3)
+    pieces = ["4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "1.2.3.4", "256.1.1.1", "a.b@c.d", "x@y", "\U0001F600", "é", " ", ".", "-", "+", "@", "7", "00", "(", "\n"]
+    made = [(10**6 + i, "".join(rng.choice(pieces, rng.integers(0, 25)))) for i in range(600)]
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame(made, "doc_id long, text string")).unionAll(odd.select("doc_id", "text"))
+    want = collections.Counter((r.doc_id, *brute_personal_data(r.text)) for r in rows.collect())
+    names = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert collections.Counter(tuple(r[c] for c in names) for r in pii.find(rows).collect()) == want
+
+
 def brute_substrings(rows):
     """doc_id to number of words, words removed and hash of the kept ones, of rows with ids of their own."""
     seen, want = set(), {}
